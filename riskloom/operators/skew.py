@@ -6,12 +6,15 @@ of that key to a single task. Operators here take ``hot``:
 
 * ``"auto"`` - one cheap pass over the key columns lists the heavy keys,
 * a ``HotKeys`` value - reuse the list of an earlier call,
-* ``NO_HOT`` - the caller knows that no key is heavy, skip the pass.
+* ``NO_HOT`` - the caller knows that no key is heavy, skip the pass,
+* ``ALL_HOT`` - every row given belongs to a heavy key.
+
+A chain of operators should split once, outside: ``by_heat`` runs the chain on both parts.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -29,12 +32,14 @@ MAX_HOT_KEYS = 10_000
 class HotKeys:
     keys: tuple[str, ...]
     table: DataFrame | None
+    everything: bool = False
 
     def __bool__(self) -> bool:
-        return self.table is not None
+        return self.everything or self.table is not None
 
 
 NO_HOT = HotKeys((), None)
+ALL_HOT = HotKeys((), None, True)
 
 
 def find_hot(df: DataFrame, keys: Iterable[str], hot_rows: int = HOT_ROWS) -> HotKeys:
@@ -62,8 +67,10 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys or None)."""
+def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame | None, DataFrame | None]:
+    """(rows of ordinary keys, rows of hot keys); a part known to be empty is None."""
+    if hot.everything:
+        return None, df
     if not hot:
         return df, None
     return (
@@ -72,25 +79,38 @@ def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame, DataFrame | None]
     )
 
 
+def by_heat(df: DataFrame, keys: Iterable[str], chain: Callable[[DataFrame, HotKeys], DataFrame],
+            hot: HotKeys | str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Split the rows once and run ``chain(rows, hot)`` on each part."""
+    ordinary, heavy = split_hot(df, resolve_hot(df, keys, hot, hot_rows))
+    parts = []
+    if ordinary is not None:
+        parts.append(chain(ordinary, NO_HOT))
+    if heavy is not None:
+        parts.append(chain(heavy, ALL_HOT))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def join_unique(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left",
                 hot: HotKeys | str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Join rows to a table that holds each key once.
 
-    Ordinary keys meet in a shuffle join. For hot keys the right side has at most one row per
-    listed key, so it is broadcast and their rows stay where they are.
+    Ordinary keys meet in a shuffle join. For listed hot keys the right side has at most one row per
+    key, so it is broadcast and their rows stay where they are. Hot rows without a list are salted.
     """
     keys = list(keys)
+
+    def listed(rows: DataFrame, table: DataFrame) -> DataFrame:
+        few = null_safe_join(unique, table, keys, "left_semi", small=True)
+        return null_safe_join(rows, few, keys, how, small=True)
+
     hot = resolve_hot(df, keys, hot, hot_rows)
     ordinary, heavy = split_hot(df, hot)
-    out = null_safe_join(ordinary, unique, keys, how)
     if heavy is None:
-        return out
-    few = null_safe_join(unique, hot.table, hot.keys, "left_semi", small=True)
-    # The list names only the listed keys; a right side keyed by more columns than the list is not bounded by it.
-    bounded = set(hot.keys) == set(keys)
-    if bounded:
-        return out.unionByName(null_safe_join(heavy, few, keys, how, small=True))
-    return out.unionByName(salted_join(heavy, few, keys, how))
+        return null_safe_join(ordinary, unique, keys, how)
+    # A list over other columns than the join's does not bound the right side.
+    heavy = listed(heavy, hot.table) if hot.keys == tuple(keys) else salted_join(heavy, unique, keys, how)
+    return heavy if ordinary is None else null_safe_join(ordinary, unique, keys, how).unionByName(heavy)
 
 
 def salted_join(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left", salts: int = 32,

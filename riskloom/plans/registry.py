@@ -81,7 +81,6 @@ def _with_views(sql: str) -> str:
     return "WITH " + ", ".join(views) + "\n" + text
 
 
-def rounded(df: DataFrame, digits: int = 6, **aliases) -> DataFrame:
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double, so that sums in another order compare equal."""
-    return df.select(*[
-        F.round(F.col(c), digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.selectExpr(*[f"round(`{c}`, {digits}) AS `{c}`" if t == "double" else f"`{c}`" for c, t in df.dtypes])

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import labels
 from riskloom.operators import windows as w
+from riskloom.operators.skew import HOT_ROWS, by_heat
 from riskloom.plans.registry import query, rounded
 
 CARD = ("card", "ts", "txn_id")
@@ -27,9 +28,7 @@ PREV_COLS = ["txn_id", "last_amount", "amount_gap", "amount_eq_last", "amount_ne
 
 
 def _previous(t, **split):
-    df = w.prev_amount(t.txn, *CARD, "cents", **split)
-    df = w.prev_delta(df, *CARD, "cents", **split)
-    df = w.changed(df, *CARD, ["place", "event_type"], **split)
+    df = w.previous_features(t.txn, *CARD, "cents", ["place", "event_type"], **split)
     return df.withColumn("last_us", F.unix_micros(F.col("last_ts").cast("timestamp"))).select(*PREV_COLS)
 
 
@@ -79,12 +78,17 @@ SELECT txn_id, {', '.join(cols)}
 FROM g WINDOW {', '.join(windows)}"""
 
 
-def _velocity(t, frames, **split):
-    df = w.prev_interval(t.txn, *CARD, **split)
-    out = w.velocity(df, *CARD, "cents", frames, {"query": F.col("event_type") == "view", "highrisk": F.col("place") >= 90},
-                     "interval_minutes", "interval_bucket", "label", **split)
-    made = [c for c in out.columns if c not in df.columns]
-    return rounded(out.select("txn_id", *made))
+def _velocity(t, frames, hot_rows=HOT_ROWS, **blocks):
+    made = []
+
+    def chain(rows, heat):
+        df = w.prev_interval(rows, *CARD, hot=heat, **blocks)
+        out = w.velocity(df, *CARD, "cents", frames, {"query": F.col("event_type") == "view", "highrisk": F.col("place") >= 90},
+                         "interval_minutes", "interval_bucket", "label", hot=heat, **blocks)
+        made[:] = [c for c in out.columns if c not in df.columns]
+        return out
+
+    return rounded(by_heat(t.txn, ["card"], chain, hot_rows=hot_rows).select("txn_id", *made))
 
 
 DAY_FRAMES = [w.TODAY, w.DAY1_INCL, w.DAY3_INCL, w.DAY3, w.DAY7, w.DAY30, w.HISTORY]
