@@ -135,9 +135,9 @@ def hashed_vectors(t):
 
 @query()
 def chi_square_selection(t):
-    rows = t.lines.select(F.col("l_linenumber").cast("double").alias("line"), (F.col("l_suppkey") % 50).cast("double").alias("shop"),
-                          (F.col("l_linestatus") == "O").cast("double").alias("status"), F.col("label").cast("double").alias("label"))
-    vectors = encode.assemble(["line", "shop", "status"]).transform(rows)
+    rows = t.txn.select(F.hour("ts").cast("double").alias("hour"), F.floor(F.log10(F.col("cents") + 1)).cast("double").alias("digits"),
+                        F.col("place").cast("double").alias("place"), (F.col("cents") > 3000).cast("double").alias("label"))
+    vectors = encode.assemble(["hour", "digits", "place"]).transform(rows)
     model = encode.select_chi2(vectors, "features", "label")
     return t.spark.createDataFrame([(int(i),) for i in model.selectedFeatures], "feature int")
 
