@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 RECOMMENDED = {
     # Event time is compared with wall-clock strings, so every executor must agree on the zone.
@@ -48,3 +48,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         named = tempfile.mkdtemp(prefix="riskloom-checkpoint-")
     context.setCheckpointDir(named)
     return named
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Spread rows over the cluster when they come from fewer files than it has cores.
+
+    For work that is heavy per row. A table of many files is already spread and is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
