@@ -15,7 +15,8 @@ RECOMMENDED = {
 }
 
 
-def local_session(app: str = "riskloom", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(app: str = "riskloom", cores: int | str = "*", shuffle_partitions: int = 8,
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """A session for tests and the local bench; a cluster brings its own."""
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
@@ -24,7 +25,7 @@ def local_session(app: str = "riskloom", cores: int | str = "*", shuffle_partiti
         .config("spark.driver.memory", "16g")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     )
-    for name, value in RECOMMENDED.items():
+    for name, value in {**RECOMMENDED, **(conf or {})}.items():
         builder = builder.config(name, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
