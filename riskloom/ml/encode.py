@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from riskloom.functions import bkdr_hash
 from riskloom.operators.graph import number_values
 from riskloom.operators.profile import melt
-from riskloom.operators.skew import join_unique
+from riskloom.operators.skew import find_hot, join_unique, null_safe_join
 
 
 def index_categories(cols: Iterable[str], suffix: str = "_idx", unseen: str = "skip", order: str = "frequencyDesc") -> Pipeline:
@@ -118,12 +118,28 @@ def iv_table(df: DataFrame, cols: Iterable[str], label: str, zero: float = 1.0)
         F.count_if(F.col("value").isNotNull()).alias("category_cnt"))
 
 
+# Lookup tables up to this many rows are broadcast; their size is counted first.
+BROADCAST_ROWS = 500_000
+
+
 def apply_woe(df: DataFrame, table: DataFrame, cols: Iterable[str], suffix: str = "_woe") -> DataFrame:
-    """Rows with ``<c>_woe``; values the table does not know get null."""
+    """Rows with ``<c>_woe``; values the table does not know get null.
+
+    The categories of each column are counted first. Few categories, the usual case, are broadcast, which also
+    keeps a frequent category from piling up in one task; many take the shuffle join with its hot values split off.
+    """
+    cols = list(cols)
+    table = table.where(F.col("col").isin(*cols)).select("col", "value", "woe").persist()
+    sizes = {r["col"]: r["count"] for r in table.groupBy("col").count().collect()}
+    out = df.withColumns({f"_{c}": F.col(c).cast("string") for c in cols})
+    base = out
     for c in cols:
         one = table.where(F.col("col") == c).select(F.col("value").alias(f"_{c}"), F.col("woe").alias(c + suffix))
-        df = join_unique(df.withColumn(f"_{c}", F.col(c).cast("string")), one, [f"_{c}"]).drop(f"_{c}")
-    return df
+        if sizes.get(c, 0) <= BROADCAST_ROWS:
+            out = null_safe_join(out, one, [f"_{c}"], "left", small=True)
+        else:
+            out = join_unique(out, one, [f"_{c}"], hot=find_hot(base, [f"_{c}"]))
+    return out.drop(*[f"_{c}" for c in cols])
 
 
 def select_chi2(df: DataFrame, features: str, label: str, fpr: float = 0.05, out: str = "selected"):

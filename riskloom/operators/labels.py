@@ -87,7 +87,7 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def sample_cards(txns: DataFrame, fraud_cards: DataFrame, card: str, txn_id: str, ratio: float, rate_cap: float,
-                 seed: int = 0, population: float = 80_000_000) -> DataFrame:
+                 seed: int = 0, population: float = 80_000_000, hot: HotKeys | str = "auto") -> DataFrame:
     """All rows of the fraud cards and of ``ratio`` sampled cards per fraud card.
 
     Candidates are cards with a row in a row sample of rate min(fraud rows / population, cap).
@@ -97,12 +97,14 @@ def sample_cards(txns: DataFrame, fraud_cards: DataFrame, card: str, txn_id: str
     rate = min(fraud_rows["rows"] / population, rate_cap)
     candidates = sample_fraction(txns, txn_id, rate, seed).select(card)
     chosen = sample_n(candidates, card, int(fraud_rows["cards"] * ratio), seed)
-    return semi_by_ids(txns, chosen.unionByName(fraud_cards.select(card)), card)
+    return semi_by_ids(txns, chosen.unionByName(fraud_cards.select(card)), card, hot)
 
 
-def cap_activity(df: DataFrame, key: str, max_rows: int, hot: HotKeys | str = "auto") -> DataFrame:
-    """Drop all rows of keys with ``max_rows`` rows or more."""
-    busy = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_rows).select(key)
+def cap_activity(df: DataFrame, key: str, max_rows: int, hot: HotKeys | str = "auto",
+                 counted_in: DataFrame | None = None) -> DataFrame:
+    """Drop all rows of keys with ``max_rows`` rows or more, counted in ``counted_in`` (default: the rows given)."""
+    source = df if counted_in is None else counted_in
+    busy = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_rows).select(key)
     return join_unique(df, busy, [key], "left_anti", hot=hot)
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import bool_double, day_no, prefix
-from riskloom.operators.skew import HotKeys, join_unique, null_safe_join
+from riskloom.operators.skew import HotKeys, find_hot, join_unique, null_safe_join, resolve_hot
 from riskloom.schema import ACTIVITY_EDGES
 
 
@@ -123,17 +123,40 @@ def distinct_places(df: DataFrame, key: str, place: str, ts: str | None = None,
     )
 
 
-def with_place_counts(df: DataFrame, key: str, place: str, ts: str, hot: HotKeys | str = "auto") -> DataFrame:
+def with_place_counts(df: DataFrame, key: str, place: str, ts: str, province_chars: int = 2,
+                      hot: HotKeys | str = "auto") -> DataFrame:
     """Rows with the day's and the overall number of places and provinces of their key."""
     rows = df.withColumn("day", F.to_date(ts))
-    per_day = distinct_places(df, key, place, ts).withColumnsRenamed(
+    # Both lists come from the plain rows, not from the joined ones.
+    hot, hot_days = resolve_hot(df, [key], hot), find_hot(rows, [key, "day"])
+    per_day = distinct_places(df, key, place, ts, province_chars).withColumnsRenamed(
         {"places_cnt": "cur_tot_locs", "provinces_cnt": "cur_tot_provs"})
-    overall = distinct_places(df, key, place).withColumnsRenamed(
+    overall = distinct_places(df, key, place, None, province_chars).withColumnsRenamed(
         {"places_cnt": "tot_locs", "provinces_cnt": "tot_provs"})
-    out = join_unique(rows, per_day, [key, "day"])
+    out = join_unique(rows, per_day, [key, "day"], hot=hot_days)
     return join_unique(out, overall, [key], hot=hot).drop("day")
 
 
+def place_profile(df: DataFrame, key: str, place: str, ts: str, province_chars: int = 2,
+                  days: Iterable[int] = (3, 7, 30)) -> tuple[DataFrame, DataFrame]:
+    """(per key and ``_day``, per key): all place features from one combined table of visits.
+
+    Per day: places and provinces. Per key: places, provinces, the most frequent place with its count, and the
+    places visited again within n days. The rows are read and shuffled once, combined to (key, day, place).
+    """
+    visits = df.select(key, place, day_no(F.col(ts)).alias("_day")).groupBy(key, place, "_day").agg(F.count(F.lit(1)).alias("_n"))
+    province = prefix(F.col(place).cast("string"), province_chars)
+    per_day = visits.groupBy(key, "_day").agg(
+        F.count(place).alias("cur_tot_locs"), F.count_distinct(province).alias("cur_tot_provs"))
+    gap = F.col("_day") - F.lag("_day").over(Window.partitionBy(key, place).orderBy("_day"))
+    per_place = visits.withColumn("_gap", gap).groupBy(key, place).agg(F.sum("_n").alias("_n"), F.min("_gap").alias("_gap"))
+    per_key = per_place.groupBy(key).agg(
+        F.count(place).alias("tot_locs"), F.count_distinct(province).alias("tot_provs"),
+        F.max_by(place, F.struct("_n", place)).alias(f"mode_{place}"), F.max("_n").alias(f"mode_{place}_cnt"),
+        *[F.count_if((F.col("_gap") <= n) & F.col(place).isNotNull()).alias(f"places_day{n}_cnt") for n in days])
+    return per_day, per_key
+
+
 def mode_by(df: DataFrame, key: str, col: str) -> DataFrame:
     """Most frequent value per key and its count; of equally frequent values the larger one."""
     counted = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
@@ -181,7 +204,8 @@ def learn_risk_values(df: DataFrame, col: str, label: str, bad: float = 0, good:
 def risk_exposure(df: DataFrame, key: str, col: str, values: DataFrame) -> DataFrame:
     """Per key: rows at bad and at risk-only values, whether there are any, and their share."""
     per_value = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    marked = join_unique(per_value, values, [col])
+    # A value's (key, value) pairs are no more than its rows, so its rows decide whether it is hot.
+    marked = join_unique(per_value, values, [col], hot=find_hot(df, [col]))
     n = F.col("_n")
     return marked.groupBy(key).agg(
         F.coalesce(F.sum(n * F.col("bad_seen")), F.lit(0)).alias("bad_cnt"),
@@ -258,16 +282,56 @@ def freq_items(df: DataFrame, cols: Iterable[str], support: float = 0.1) -> Data
 
 def quantiles(df: DataFrame, col: str, probabilities: Iterable[float], exact: bool = False,
               accuracy: int = 10_000) -> DataFrame:
-    """One row per probability. The exact form sorts distinct values, the other keeps a bounded sketch."""
+    """One row per probability: from a bounded sketch, or exactly (interpolated) with ``exact``."""
     ps = [float(p) for p in probabilities]
     if exact:
-        agg = [F.percentile(col, F.lit(p)).alias(f"p{i}") for i, p in enumerate(ps)]
-    else:
-        agg = [F.percentile_approx(col, p, accuracy).cast("double").alias(f"p{i}") for i, p in enumerate(ps)]
+        return df.sparkSession.createDataFrame(_exact_quantiles(df, col, ps), "probability double, value double")
+    agg = [F.percentile_approx(col, p, accuracy).cast("double").alias(f"p{i}") for i, p in enumerate(ps)]
     rows = F.array(*[F.struct(F.lit(p).alias("probability"), F.col(f"p{i}").alias("value")) for i, p in enumerate(ps)])
     return df.agg(*agg).select(F.explode(rows).alias("_r")).select("_r.*")
 
 
+def _exact_quantiles(df: DataFrame, col: str, ps: list[float], bins: int = 4096) -> list[tuple[float, float | None]]:
+    """Values at the wanted ranks, found by narrowing intervals with histograms.
+
+    A pass cuts the interval around every wanted rank into bins and keeps the bin that holds the rank. Only
+    bin counts reach the driver, no task ever holds the values, and a pass narrows each interval thousands of times.
+    """
+    values = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    n, low, high = values.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
+    if not n:
+        return [(p, None) for p in ps]
+    ranks = {int(p * (n - 1)) for p in ps} | {min(int(p * (n - 1)) + 1, n - 1) for p in ps}
+    found, open_ = {}, {r: (low, high, 0) for r in ranks}  # rank -> (low, high, rows below low)
+    while True:
+        for r in [r for r, (lo, hi, _) in open_.items() if lo == hi]:
+            found[r] = open_.pop(r)[0]
+        if not open_:
+            break
+        spans = sorted(set(open_.values()))
+        which, bin_ = F.lit(None).cast("int"), F.lit(None).cast("bigint")
+        for i, (lo, hi, _) in enumerate(spans):
+            inside = F.col("_v").between(lo, hi)
+            share = (F.col("_v") - F.lit(lo)) / F.lit(hi - lo)
+            which = F.when(inside, F.lit(i)).otherwise(which)
+            bin_ = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(bin_)
+        counts = values.groupBy(which.alias("i"), bin_.alias("b")).agg(
+            F.count(F.lit(1)).alias("n"), F.min("_v").alias("lo"), F.max("_v").alias("hi")).where("i IS NOT NULL").collect()
+        for r, span in list(open_.items()):
+            below = span[2]
+            for c in sorted((c for c in counts if c.i == spans.index(span)), key=lambda c: c.b):
+                if r < below + c.n:
+                    open_[r] = (c.lo, c.hi, below)
+                    break
+                below += c.n
+    out = []
+    for p in ps:
+        at = p * (n - 1)
+        a, b = found[int(at)], found[min(int(at) + 1, n - 1)]
+        out.append((p, a + (b - a) * (at - int(at))))
+    return out
+
+
 def activity_histogram(df: DataFrame, key: str, edges: Iterable[int] = ACTIVITY_EDGES) -> DataFrame:
     """Keys by number of rows, in (low, high] buckets; the last one is open."""
     edges = list(edges)
