@@ -7,7 +7,6 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,10 +71,6 @@ def k_scan(df: DataFrame, ks: Iterable[int], id_col: str | None = None, fraction
     return df.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
-def silhouette(model, df: DataFrame, features: str = "features") -> float:
-    return ClusteringEvaluator(featuresCol=features).evaluate(model.transform(df))
-
-
 def train_test_by_day(df: DataFrame, ts: str, train_day: str, test_day: str, cfg: ForestConfig = FOREST_TINY,
                       features: str = "features", label: str = "label"):
     """Train on one day and predict another."""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import bool_double, day_no, prefix
-from riskloom.operators.skew import HotKeys, find_hot, join_unique, null_safe_join, resolve_hot
+from riskloom.operators.skew import HotKeys, find_hot, join_unique, null_safe_join, resolve_hot, salted_join
 from riskloom.schema import ACTIVITY_EDGES
 
 
@@ -66,11 +66,11 @@ def code_counts(df: DataFrame, key: str, col: str, codes: Iterable) -> DataFrame
 def listed_counts(df: DataFrame, key: str, col: str, lists: DataFrame, list_col: str = "list_name") -> DataFrame:
     """Counts per (key, list) when the lists are a table of (value, list name) too long for literals.
 
-    Rows are combined to (key, value) before they meet the table.
+    Rows are combined to (key, value) before they meet the table; a value met by many keys is spread by them.
     """
     members = lists.select(F.col(col), F.col(list_col)).distinct()
     per_value = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    return per_value.join(members, col).groupBy(key, list_col).agg(F.sum("_n").alias("list_cnt"))
+    return salted_join(per_value, members, [col], "inner", salts=8, spread=[key]).groupBy(key, list_col).agg(F.sum("_n").alias("list_cnt"))
 
 
 def flag_counts(df: DataFrame, key: str, flags: Iterable[str]) -> DataFrame:
