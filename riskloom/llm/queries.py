@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import mixing, quality, secrets, sharding
-from riskloom.llm.common import table, words_of, written
+from riskloom.llm import mixing, pieces, quality, secret_scan, sharding, token_files
+from riskloom.llm.common import shared_path, table, words_of, written
 from riskloom.llm.twins import TWINS
 
 
@@ -24,8 +24,8 @@ def op1_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     """A first scan of all documents (nothing is in the ledger yet) and its findings on every document."""
-    paths, ledger = secrets.scan_versions(table(spark, folder, "documents"))
-    rows = secrets.findings_on_paths(paths, ledger)
+    paths, ledger = secret_scan.scan_versions(table(spark, folder, "documents"))
+    rows = secret_scan.findings_on_paths(paths, ledger)
 
     def count(kind: str):
         return F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
@@ -33,17 +33,36 @@ def op2_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     def digest(found):
         return F.array_join(F.transform(found, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
 
-    base = F.filter("findings", lambda f: f["kind"].isin([r.name for r in secrets.BASE_RULES]))
+    base = F.filter("findings", lambda f: f["kind"].isin([r.name for r in secret_scan.BASE_RULES]))
     return rows.select("doc_id", count("assign"), count("access"), count("hex"),
                        F.sha2(digest(base).cast("binary"), 256).alias("base_sha256"), digest(F.col("findings")).alias("spans"))
 
 
+def tokenizer_path(name: str) -> str:
+    """The installed vocabulary file; the operators themselves take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document encoded with begin and end ids, and decoded again."""
+    return pieces.encode_decode(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed to the weights 5, 2, 1 of their sources, none above three times its source's size."""
     rows = table(spark, folder, "documents").select("doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size"))
     return mixing.mix(written(rows, "mix-sizes")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document written to grammar-compressed token files in id order and read back from them."""
+    path = shared_path(spark, "token-files")
+    token_files.write(table(spark, folder, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=2, base=49_408)
+    return token_files.read(spark, path)
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, the base verdict and the verdict of the rule table for every document."""
     rows = quality.judge(quality.measure(table(spark, folder, "documents").select("doc_id", "text")))
@@ -53,5 +72,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op2_secret_scans, op6_mixing, op10_quality_rules)}
+    f.__name__: f for f in (
+        op1_sharding, op2_secret_scans, op5_sentencepiece, op6_mixing, op7_token_files, op10_quality_rules)}
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from riskloom.llm import quality, secrets
+from riskloom.llm import quality, secret_scan
 
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def _spans(rule: secrets.Rule) -> str:
+def _spans(rule: secret_scan.Rule) -> str:
     pattern = rule.pattern.replace("'", "''")
     keep = f"len(regexp_extract_all(t, '{pattern}', {rule.group})[k]) >= {rule.least}" if rule.least else "true"
-    order = [r.name for r in secrets.RULES].index(rule.name)
+    order = [r.name for r in secret_scan.RULES].index(rule.name)
     return f"""SELECT doc_id, '{rule.name}' AS kind, {order} AS ord, e - len(hits[k]) AS s, e FROM (
       SELECT doc_id, k, t, hits, list_sum(list_transform(gaps[1:k], lambda x: len(x)))::BIGINT
              + list_sum(list_transform(hits[1:k], lambda x: len(x)))::BIGINT AS e
@@ -20,7 +20,7 @@ def _spans(rule: secrets.Rule) -> str:
 
 
 OP2 = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-spans AS ({' UNION ALL '.join(_spans(r) for r in secrets.RULES)}),
+spans AS ({' UNION ALL '.join(_spans(r) for r in secret_scan.RULES)}),
 per AS (SELECT doc_id,
   count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3) AS base,
