@@ -29,6 +29,20 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs d LEFT JOIN per p ON p.doc_id = d.doc_id"""
 
+OP3 = f"""WITH RECURSIVE words AS (
+  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{WORD}'),
+    lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ws FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [ws]
+  ELSE list_transform(range(1, len(ws) - 2), lambda i: ws[i:i + 3]) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+links AS (SELECT a.doc_id AS u, b.doc_id AS v FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+top AS (SELECT d.doc_id, least(d.doc_id, min(v)) AS component_id FROM documents d LEFT JOIN reach r ON r.u = d.doc_id GROUP BY d.doc_id)
+SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM top t LEFT JOIN sizes s ON s.doc_id = t.doc_id"""
+
 OP6 = f"""WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('17:' || doc_id) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -70,4 +84,4 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
   AND 2 * n_upper <= word_chars AND 2 * n_marks <= n_words AND 2 * n_dup_lines <= n_lines AND 50 * n_stop >= n_words AS kept FROM f"""
 
-TWINS = {"op2_secret_scans": OP2, "op6_mixing": OP6, "op10_quality_rules": OP10}
+TWINS = {"op2_secret_scans": OP2, "op3_minhash": OP3, "op6_mixing": OP6, "op10_quality_rules": OP10}
