@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import minhash, mixing, pieces, quality, secret_scan, sharding, token_files
+from riskloom.llm import embeddings, minhash, mixing, pieces, quality, secret_scan, sharding, token_files
 from riskloom.llm.common import shared_path, table, words_of, written
 from riskloom.llm.twins import TWINS
 
@@ -43,6 +43,11 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), width=4, percent=80)
 
 
+def op4_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings compared within their label at a cosine of 0.98 through the graphs of every shard."""
+    return embeddings.near_vectors(table(spark, folder, "embeddings"), least=0.98)
+
+
 def tokenizer_path(name: str) -> str:
     """The installed vocabulary file; the operators themselves take any path."""
     import public_tokenizers
@@ -78,5 +83,5 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_secret_scans, op3_minhash, op5_sentencepiece, op6_mixing, op7_token_files, op10_quality_rules)}
+        op1_sharding, op2_secret_scans, op3_minhash, op4_embeddings, op5_sentencepiece, op6_mixing, op7_token_files, op10_quality_rules)}
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}

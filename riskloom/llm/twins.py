@@ -43,6 +43,19 @@ top AS (SELECT d.doc_id, least(d.doc_id, min(v)) AS component_id FROM documents
 SELECT t.doc_id, coalesce(n, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
 FROM top t LEFT JOIN sizes s ON s.doc_id = t.doc_id"""
 
+OP4 = """WITH RECURSIVE good AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normed AS (SELECT *, sqrt(list_dot_product(e, e)) AS r FROM good),
+links AS (SELECT a.vec_id AS u, b.vec_id AS v FROM normed a JOIN normed b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_dot_product(a.e, b.e) / (a.r * b.r) >= 0.98),
+reach(u, v) AS (SELECT u, v FROM links UNION SELECT r.u, l.v FROM reach r JOIN links l ON l.u = r.v),
+top AS (SELECT u, min(v) AS m FROM reach GROUP BY u), deg AS (SELECT u, count(*) AS n FROM links GROUP BY u)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id,
+  vec_id = least(vec_id, coalesce(m, vec_id)) AS kept
+FROM embeddings e LEFT JOIN top t ON t.u = e.vec_id LEFT JOIN deg d ON d.u = e.vec_id"""
+
 OP6 = f"""WITH docs AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('17:' || doc_id) AS h FROM documents),
 src AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
@@ -84,4 +97,4 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
   AND 2 * n_upper <= word_chars AND 2 * n_marks <= n_words AND 2 * n_dup_lines <= n_lines AND 50 * n_stop >= n_words AS kept FROM f"""
 
-TWINS = {"op2_secret_scans": OP2, "op3_minhash": OP3, "op6_mixing": OP6, "op10_quality_rules": OP10}
+TWINS = {"op2_secret_scans": OP2, "op3_minhash": OP3, "op4_embeddings": OP4, "op6_mixing": OP6, "op10_quality_rules": OP10}
