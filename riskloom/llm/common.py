@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def exact_ids(texts: Iterable[str | None]) -> pd.api.extensions.ExtensionArray:
+    """Ids that came to Python as strings, so that a null among them does not turn the others into floats."""
+    return pd.array([None if t is None else int(t) for t in texts], "Int64")

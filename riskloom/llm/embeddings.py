@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import exact_ids, written
 from riskloom.llm.components import components
 from riskloom.llm.hnsw import Hnsw, within
 
@@ -42,9 +42,9 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
             for v in batch["vector"]:
                 x = None if v is None else np.array([np.nan if c is None else c for c in v], "<f8")
                 out.append(x.tobytes() if x is not None and len(x) and np.isfinite(x).all() and x.any() else None)
-            yield pd.DataFrame({"id": batch["id"].astype("Int64"), "label": batch["label"], "vector": out})
+            yield pd.DataFrame({"id": exact_ids(batch["id"]), "label": batch["label"], "vector": out})
 
-    read = rows.select(F.col(f"`{vec_id}`").cast("bigint").alias("id"), F.col(f"`{label}`").cast("string").alias("label"),
+    read = rows.select(F.col(f"`{vec_id}`").cast("bigint").cast("string").alias("id"), F.col(f"`{label}`").cast("string").alias("label"),
                        F.col(f"`{vector}`").alias("vector"))
     packed = written(read.mapInPandas(pack, "id bigint, label string, vector binary"), "vectors")
     valid = packed.where("label is not null and vector is not null and id is not null")

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import written
+from riskloom.llm.common import exact_ids, written
 from riskloom.llm.components import components
 from riskloom.llm.shingles import Minima, digest, shared, shingle_set
 
@@ -29,16 +29,18 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, width: int, bands: int
         minima = Minima(bands, rows)
         for batch in batches:
             out = []
-            for key, value in zip(batch["id"], batch["text"]):
+            for value in batch["text"]:
                 s = shingle_set(value, width)
                 if len(s):
                     low = minima.of(s)
-                    out.append((key, len(s), digest(s), minima.keys(low), minima.bytes(low)))
+                    out.append((len(s), digest(s), minima.keys(low), minima.bytes(low)))
                 else:
-                    out.append((key, 0, None, None, None))
-            yield pd.DataFrame(out, columns=["id", "n", "digest", "bands", "sig"]).astype({"id": "Int64"})
+                    out.append((0, None, None, None))
+            made = pd.DataFrame(out, columns=["n", "digest", "bands", "sig"])
+            made.insert(0, "id", exact_ids(batch["id"]))
+            yield made
 
-    rows_in = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
+    rows_in = docs.select(F.col(f"`{doc_id}`").cast("bigint").cast("string").alias("id"), F.col(f"`{text}`").alias("text"))
     return rows_in.mapInPandas(run, "id bigint, n bigint, digest binary, bands array<bigint>, sig binary")
 
 

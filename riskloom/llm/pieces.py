@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from riskloom.llm.distinct import DistinctTable
 
@@ -85,7 +86,7 @@ def encode_decode(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
             yield pd.DataFrame(rows, columns=names)
 
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] + (["ids", "decoded"] if contents else [])
-    key_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"doc_id {key_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+    schema = f"doc_id string, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<bigint>, decoded string" if contents else ""
-    return docs.selectExpr(f"`{doc_id}` AS key", f"`{text}` AS text").mapInPandas(run, schema)
+    out = docs.selectExpr(f"CAST(`{doc_id}` AS STRING) AS key", f"`{text}` AS text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema[doc_id].dataType))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import embeddings, minhash, mixing, pieces, quality, secret_scan, sharding, token_files
+from riskloom.llm import embeddings, html_text, minhash, mixing, pieces, quality, secret_scan, sharding, token_files, toxicity
 from riskloom.llm.common import shared_path, table, words_of, written
 from riskloom.llm.twins import TWINS
 
@@ -73,6 +73,19 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.read(spark, path)
 
 
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Expected severity of every document under a model of the labelled sample."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select("doc_id", "severity", "grade", "toxic")
+
+
+def op9_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page, with token weights counted on pages that mark their content."""
+    pages = table(spark, folder, "pages")
+    return html_text.extract(pages.select("page_id", "url", "html"), html_text.fit_weights(pages))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base counts, the base verdict and the verdict of the rule table for every document."""
     rows = quality.judge(quality.measure(table(spark, folder, "documents").select("doc_id", "text")))
@@ -83,5 +96,6 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_sharding, op2_secret_scans, op3_minhash, op4_embeddings, op5_sentencepiece, op6_mixing, op7_token_files, op10_quality_rules)}
+        op1_sharding, op2_secret_scans, op3_minhash, op4_embeddings, op5_sentencepiece, op6_mixing, op7_token_files, op8_toxicity,
+        op9_html_extraction, op10_quality_rules)}
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}

@@ -44,6 +44,7 @@ EXTRA_RULES = (
 )
 RULES = BASE_RULES + EXTRA_RULES
 LEDGER = "blob binary, rule string, start bigint, end bigint"
+NO_FINDINGS = "cast(array() as array<struct<start:bigint,`order`:int,kind:string,end:bigint>>)"
 
 
 def blob_of(text: Column) -> Column:
@@ -113,8 +114,7 @@ def findings_by_blob(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> Data
 def findings_on_paths(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``paths`` with ``findings`` (an empty array where there are none)."""
     found = findings_by_blob(ledger, rules)
-    empty = F.expr("cast(array() as array<struct<start:bigint,`order`:int,kind:string,end:bigint>>)")
-    return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", empty))
+    return paths.join(found, "blob", "left").withColumn("findings", F.coalesce("findings", F.expr(NO_FINDINGS)))
 
 
 def redacted(text: Column, findings: Column, mark: str = "[REDACTED]") -> Column:

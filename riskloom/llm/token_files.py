@@ -25,6 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.common import exact_ids
 from riskloom.llm.distinct import DistinctTable
 
 BLOCK = 1 << 20
@@ -165,7 +166,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, base: int = 1
         for batch in batches:
             for key, packed in zip(batch["key"], words.encode(t or "" for t in batch["text"])):
                 packed += end
-                keys.append(None if pd.isna(key) else int(key))
+                keys.append(key)
                 parts.append(packed)
                 held += len(packed) // 4
                 if held >= BLOCK:
@@ -179,7 +180,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, base: int = 1
     number = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("key").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(number, *order).sortWithinPartitions(*order)
-    placed.mapInPandas(run, "shard int, block int, start bigint, ids bigint, keys array<bigint>, payload binary").write.parquet(path)
+    placed = placed.select(F.col("key").cast("string").alias("key"), "text")
+    placed.mapInPandas(run, "shard int, block int, start bigint, ids bigint, keys array<string>, payload binary").write.parquet(path)
 
 
 def read(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
@@ -198,7 +200,7 @@ def read(spark: SparkSession, path: str, contents: bool = False) -> DataFrame:
                 ends = np.cumsum(counts)
                 ids = block.expand(block.sequence)
                 docs = [ids[e - n:e] for e, n in zip(ends, counts)]
-                out = {"shard": shard, "doc_id": pd.array(list(keys), "Int64"), "start": start + ends - counts, "n_tokens": counts,
+                out = {"shard": shard, "doc_id": exact_ids(keys), "start": start + ends - counts, "n_tokens": counts,
                        "ids_crc32": [zlib.crc32(d.tobytes()) for d in docs]}
                 yield pd.DataFrame({**out, "ids": [d.tolist() for d in docs]} if contents else out)
 
