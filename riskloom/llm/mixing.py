@@ -77,6 +77,7 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", size: s
     drawn = rows.where("__pick").groupBy("__source").agg(F.sum("__size").alias("__drawn"))
     rows = null_safe_join(rows, drawn, ["__source"], "left")
     rest = ~F.col("__large") & (F.col("__mid") <= F.col("__part") - F.coalesce("__drawn", F.lit(0)))
-    times = (F.col("__whole") + (F.col("__pick") | rest).cast("bigint")).cast("bigint")
+    more = (F.col("__part") > 0) & (F.col("__pick") | rest)  # at the limit nothing more is taken, empty documents included
+    times = (F.col("__whole") + more.cast("bigint")).cast("bigint")
     return rows.select(*[F.col(f"`{c}`") for c in keep], "source_size", "target", times.alias("times"),
                        (times * F.col("__size")).cast("bigint").alias("taken"))
