@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import (
@@ -15,17 +15,27 @@ from pyspark.sql import functions as F
 from riskloom.functions import bkdr_hash
 from riskloom.operators.graph import number_values
 from riskloom.operators.profile import melt
-from riskloom.operators.skew import find_hot, join_unique, null_safe_join
+from riskloom.operators.skew import join_unique, null_safe_join
 
 
 def index_categories(cols: Iterable[str], suffix: str = "_idx", unseen: str = "skip", order: str = "frequencyDesc") -> Pipeline:
-    """Index every column by frequency, in one multi-column stage. The labels live on the driver: use
-    ``low_cardinality`` first, or ``dictionary_index`` for columns with many values."""
+    """Index every column by frequency, in one multi-column stage.
+
+    Spark ML keeps the labels on the driver: ``check_categories`` first, or ``dictionary_index`` for columns with many values.
+    """
     cols = list(cols)
     return Pipeline(stages=[StringIndexer(
         inputCols=cols, outputCols=[c + suffix for c in cols], handleInvalid=unseen, stringOrderType=order)])
 
 
+def check_categories(df: DataFrame, cols: Iterable[str], most: int = 100_000) -> None:
+    """Raise if a column has more than ``most`` values (by sketch), before Spark ML gathers them on the driver."""
+    cols = list(cols)
+    counts = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols]).first().asDict()
+    if wide := {c: n for c, n in counts.items() if n > most}:
+        raise ValueError(f"too many categories to index on the driver, use dictionary_index: {wide}")
+
+
 def dictionary(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(value, index) with running numbers, for columns of any size."""
     return number_values(df, col, out or f"{col}_idx")
@@ -37,9 +47,9 @@ def dictionary_index(df: DataFrame, col: str, table: DataFrame | None = None, ou
 
 
 def one_hot(cols: Iterable[str], suffix: str = "_vec") -> OneHotEncoder:
-    """One-hot with no level left out."""
+    """One-hot with one slot for each level; an index outside the fitted levels is an error."""
     cols = list(cols)
-    return OneHotEncoder(inputCols=cols, outputCols=[c + suffix for c in cols], dropLast=False, handleInvalid="keep")
+    return OneHotEncoder(inputCols=cols, outputCols=[c + suffix for c in cols], dropLast=False, handleInvalid="error")
 
 
 def assemble(cols: Iterable[str], out: str = "features", invalid: str = "error") -> VectorAssembler:
@@ -71,10 +81,10 @@ def hash_columns(df: DataFrame, cols: Iterable[str], mask: int | None = None, em
 
 
 def hash_vector(df: DataFrame, cols: Iterable[str], mask: int | None = None, empty: int = -1) -> DataFrame:
-    """Hashed columns as one vector of unit length, ``norm_features``."""
+    """Hashed columns as one vector of unit length, ``norm_features``. A null text hashes like an empty one."""
     cols = list(cols)
-    hashed = hash_columns(df, cols, mask, empty)
-    vector = assemble([c + "_hash" for c in cols], invalid="skip").transform(hashed)
+    hashed = hash_columns(df, cols, mask, empty).fillna(float(empty), [c + "_hash" for c in cols])
+    vector = assemble([c + "_hash" for c in cols]).transform(hashed)
     return normalize().transform(vector)
 
 
@@ -94,9 +104,9 @@ def woe_table(df: DataFrame, cols: Iterable[str], label: str, zero: float = 1.0,
     """
     counts = melt(df, cols, [label]).groupBy("col", "value").agg(
         F.count_if(F.col(label) == 1).alias("bad"), F.count_if(F.col(label) == 0).alias("good"))
-    totals = df.agg(F.count_if(F.col(label) == 1).alias("_bad"), F.count_if(F.col(label) == 0).alias("_good"))
-    # The totals are one row, joined through a constant key.
-    joined = counts.withColumn("_k", F.lit(1)).join(F.broadcast(totals.withColumn("_k", F.lit(1))), "_k")
+    # Every row has one value of every column, so each column's counts add up to the totals: one row per column, no second scan.
+    totals = counts.groupBy("col").agg(F.sum("bad").alias("_bad"), F.sum("good").alias("_good"))
+    joined = counts.join(F.broadcast(totals), "col")
 
     def share(part: str, whole: str) -> Column:
         n = F.col(part).cast("double")
@@ -118,27 +128,17 @@ def iv_table(df: DataFrame, cols: Iterable[str], label: str, zero: float = 1.0)
         F.count_if(F.col("value").isNotNull()).alias("category_cnt"))
 
 
-# Lookup tables up to this many rows are broadcast; their size is counted first.
-BROADCAST_ROWS = 500_000
-
-
 def apply_woe(df: DataFrame, table: DataFrame, cols: Iterable[str], suffix: str = "_woe") -> DataFrame:
     """Rows with ``<c>_woe``; values the table does not know get null.
 
-    The categories of each column are counted first. Few categories, the usual case, are broadcast, which also
-    keeps a frequent category from piling up in one task; many take the shuffle join with its hot values split off.
+    The table holds a category once, so these are plain joins: Spark broadcasts a side by its measured bytes, and adaptive
+    execution splits a frequent category otherwise.
     """
     cols = list(cols)
-    table = table.where(F.col("col").isin(*cols)).select("col", "value", "woe").persist()
-    sizes = {r["col"]: r["count"] for r in table.groupBy("col").count().collect()}
     out = df.withColumns({f"_{c}": F.col(c).cast("string") for c in cols})
-    base = out
     for c in cols:
         one = table.where(F.col("col") == c).select(F.col("value").alias(f"_{c}"), F.col("woe").alias(c + suffix))
-        if sizes.get(c, 0) <= BROADCAST_ROWS:
-            out = null_safe_join(out, one, [f"_{c}"], "left", small=True)
-        else:
-            out = join_unique(out, one, [f"_{c}"], hot=find_hot(base, [f"_{c}"]))
+        out = null_safe_join(out, one, [f"_{c}"], "left")
     return out.drop(*[f"_{c}" for c in cols])
 
 
@@ -146,9 +146,3 @@ def select_chi2(df: DataFrame, features: str, label: str, fpr: float = 0.05, out
     """Fitted selector of categorical features by the chi-square test at a false-positive rate."""
     selector = UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol=out, selectionMode="fpr")
     return selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(fpr).fit(df)
-
-
-def woe_literal(table: Mapping[str, float], col: str) -> Column:
-    """A small weight-of-evidence map as one expression, when a join is not worth it."""
-    pairs = [part for value, woe in table.items() for part in (F.lit(value), F.lit(woe))]
-    return F.try_element_at(F.create_map(*pairs), F.col(col).cast("string"))

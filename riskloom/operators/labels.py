@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import hash_bucket
 from riskloom.operators.order import union_all
-from riskloom.operators.skew import HotKeys, join_unique
+from riskloom.operators.skew import join_unique
 
 BUCKETS = 1_000_000
 
@@ -24,18 +24,18 @@ def select_normal(txns: DataFrame, fraud: DataFrame, keys: Iterable[str]) -> Dat
     return txns.join(fraud.select(*keys), list(keys), "left_anti")
 
 
-def semi_by_ids(df: DataFrame, ids: DataFrame, key: str, hot: HotKeys | str = "auto") -> DataFrame:
+def semi_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is in a table of ids, which never visits the driver."""
-    return join_unique(df, ids.select(key).distinct(), [key], "left_semi", hot=hot)
+    return join_unique(df, ids.select(key).distinct(), [key], "left_semi")
 
 
-def anti_by_ids(df: DataFrame, ids: DataFrame, key: str, hot: HotKeys | str = "auto") -> DataFrame:
-    return join_unique(df, ids.select(key).distinct(), [key], "left_anti", hot=hot)
+def anti_by_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    return join_unique(df, ids.select(key).distinct(), [key], "left_anti")
 
 
-def related_rows(df: DataFrame, condition: Column, key: str, hot: HotKeys | str = "auto") -> DataFrame:
+def related_rows(df: DataFrame, condition: Column, key: str) -> DataFrame:
     """All rows of the keys that have at least one row meeting the condition."""
-    return semi_by_ids(df, df.where(condition), key, hot)
+    return semi_by_ids(df, df.where(condition), key)
 
 
 def with_dimension(df: DataFrame, dim: DataFrame, keys: Iterable[str]) -> DataFrame:
@@ -44,10 +44,13 @@ def with_dimension(df: DataFrame, dim: DataFrame, keys: Iterable[str]) -> DataFr
 
 
 def with_fraud_history(txns: DataFrame, history: DataFrame, id_col: str, ts: str) -> DataFrame:
-    """Add an entity's fraud counts of the preceding days, 0 when it has none on record for the day."""
-    counts = [c for c in history.columns if c not in (id_col, "day")]
-    joined = join_unique(txns.withColumn("day", F.to_date(ts)), history, [id_col, "day"])
-    return joined.fillna(0, subset=counts).drop("day")
+    """Add the fraud counts of the days before each transaction, from ``windows.entity_fraud_history`` over the same transactions.
+
+    A transaction without an entity or a time has no history and counts 0.
+    """
+    counts = [c for c in history.columns if c not in (id_col, "_day")]
+    joined = join_unique(txns.withColumn("_day", F.unix_date(F.to_date(ts))), history, [id_col, "_day"])
+    return joined.fillna(0, subset=counts).drop("_day")
 
 
 def label_transactions(txns: DataFrame, fraud: DataFrame, keys: Iterable[str], out: str = "label") -> DataFrame:
@@ -88,7 +91,7 @@ def sample_n(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
 
 
 def sample_cards(txns: DataFrame, fraud_cards: DataFrame, card: str, txn_id: str, ratio: float, rate_cap: float,
-                 seed: int = 0, population: float = 80_000_000, hot: HotKeys | str = "auto") -> DataFrame:
+                 seed: int = 0, population: float = 80_000_000) -> DataFrame:
     """All rows of the fraud cards and of ``ratio`` sampled cards per fraud card.
 
     Candidates are cards with a row in a row sample of rate min(fraud rows / population, cap).
@@ -98,30 +101,32 @@ def sample_cards(txns: DataFrame, fraud_cards: DataFrame, card: str, txn_id: str
     rate = min(fraud_rows["rows"] / population, rate_cap)
     candidates = sample_fraction(txns, txn_id, rate, seed).select(card)
     chosen = sample_n(candidates, card, int(fraud_rows["cards"] * ratio), seed)
-    return semi_by_ids(txns, chosen.unionByName(fraud_cards.select(card)), card, hot)
+    return semi_by_ids(txns, chosen.unionByName(fraud_cards.select(card)), card)
 
 
-def cap_activity(df: DataFrame, key: str, max_rows: int, hot: HotKeys | str = "auto",
+def cap_activity(df: DataFrame, key: str, max_rows: int,
                  counted_in: DataFrame | None = None) -> DataFrame:
     """Drop all rows of keys with ``max_rows`` rows or more, counted in ``counted_in`` (default: the rows given)."""
     source = df if counted_in is None else counted_in
     busy = source.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= max_rows).select(key)
-    return join_unique(df, busy, [key], "left_anti", hot=hot)
+    return join_unique(df, busy, [key], "left_anti")
 
 
-def drop_confusable(df: DataFrame, key: str, label: str, hot: HotKeys | str = "auto") -> DataFrame:
-    """Drop normal rows of keys that ever had a fraud."""
+def drop_confusable(df: DataFrame, key: str, label: str) -> DataFrame:
+    """Drop rows labelled 0 of keys that ever had a fraud; all other rows stay, those with another or no label included."""
+    normal = F.col(label).eqNullSafe(0)
     fraud = df.where(F.col(label) == 1)
-    return anti_by_ids(df.where(F.col(label) == 0), fraud, key, hot).unionByName(fraud)
+    return anti_by_ids(df.where(normal), fraud, key).unionByName(df.where(~normal))
 
 
 def rebalance(df: DataFrame, label: str, id_col: str, fractions: Mapping[float, float], seed: int = 0) -> DataFrame:
-    """Keep the given fraction of each class; classes not named are kept whole."""
+    """Keep the given fraction of each class; classes not named and rows without a label are kept whole."""
     bucket = hash_bucket(F.col(id_col), seed, BUCKETS)
     keep = F.lit(False)
     for value, fraction in fractions.items():
         keep |= (F.col(label) == value) & (bucket < round(fraction * BUCKETS))
-    return df.where(keep | ~F.col(label).isin(*fractions))
+    named = F.coalesce(F.col(label).isin(*fractions), F.lit(False))
+    return df.where(F.coalesce(keep, F.lit(False)) | ~named)
 
 
 def assign_split(df: DataFrame, id_col: str, weights: Iterable[float], seed: int = 0, out: str = "part") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions import bool_double, day_no, prefix
-from riskloom.operators.skew import HotKeys, find_hot, join_unique, null_safe_join, resolve_hot, salted_join
+from riskloom.operators.skew import join_unique, null_safe_join
 from riskloom.schema import ACTIVITY_EDGES
 
 
@@ -66,11 +66,11 @@ def code_counts(df: DataFrame, key: str, col: str, codes: Iterable) -> DataFrame
 def listed_counts(df: DataFrame, key: str, col: str, lists: DataFrame, list_col: str = "list_name") -> DataFrame:
     """Counts per (key, list) when the lists are a table of (value, list name) too long for literals.
 
-    Rows are combined to (key, value) before they meet the table; a value met by many keys is spread by them.
+    Rows are combined to (key, value) before they meet the table.
     """
     members = lists.select(F.col(col), F.col(list_col)).distinct()
     per_value = df.where(F.col(col).isNotNull()).groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    return salted_join(per_value, members, [col], "inner", salts=8, spread=[key]).groupBy(key, list_col).agg(F.sum("_n").alias("list_cnt"))
+    return null_safe_join(per_value, members, [col], "inner").groupBy(key, list_col).agg(F.sum("_n").alias("list_cnt"))
 
 
 def flag_counts(df: DataFrame, key: str, flags: Iterable[str]) -> DataFrame:
@@ -123,18 +123,15 @@ def distinct_places(df: DataFrame, key: str, place: str, ts: str | None = None,
     )
 
 
-def with_place_counts(df: DataFrame, key: str, place: str, ts: str, province_chars: int = 2,
-                      hot: HotKeys | str = "auto") -> DataFrame:
+def with_place_counts(df: DataFrame, key: str, place: str, ts: str, province_chars: int = 2) -> DataFrame:
     """Rows with the day's and the overall number of places and provinces of their key."""
     rows = df.withColumn("day", F.to_date(ts))
-    # Both lists come from the plain rows, not from the joined ones.
-    hot, hot_days = resolve_hot(df, [key], hot), find_hot(rows, [key, "day"])
     per_day = distinct_places(df, key, place, ts, province_chars).withColumnsRenamed(
         {"places_cnt": "cur_tot_locs", "provinces_cnt": "cur_tot_provs"})
     overall = distinct_places(df, key, place, None, province_chars).withColumnsRenamed(
         {"places_cnt": "tot_locs", "provinces_cnt": "tot_provs"})
-    out = join_unique(rows, per_day, [key, "day"], hot=hot_days)
-    return join_unique(out, overall, [key], hot=hot).drop("day")
+    out = join_unique(rows, per_day, [key, "day"])
+    return join_unique(out, overall, [key]).drop("day")
 
 
 def place_profile(df: DataFrame, key: str, place: str, ts: str, province_chars: int = 2,
@@ -164,10 +161,9 @@ def mode_by(df: DataFrame, key: str, col: str) -> DataFrame:
         F.max_by(col, F.struct("_n", col)).alias(f"mode_{col}"), F.max("_n").alias(f"mode_{col}_cnt"))
 
 
-def with_mode_flags(df: DataFrame, key: str, col: str, risky: Iterable | None = None,
-                    hot: HotKeys | str = "auto") -> DataFrame:
+def with_mode_flags(df: DataFrame, key: str, col: str, risky: Iterable | None = None) -> DataFrame:
     """Is the row at its key's most frequent value, and is that value on a risk list."""
-    out = join_unique(df, mode_by(df, key, col), [key], hot=hot)
+    out = join_unique(df, mode_by(df, key, col), [key])
     mode = F.col(f"mode_{col}")
     out = out.withColumn(f"is_frequent_{col}", bool_double(F.col(col).eqNullSafe(mode)))
     if risky is not None:
@@ -175,12 +171,11 @@ def with_mode_flags(df: DataFrame, key: str, col: str, risky: Iterable | None =
     return out
 
 
-def with_group_stat(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Column],
-                    hot: HotKeys | str = "auto") -> DataFrame:
+def with_group_stat(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Column]) -> DataFrame:
     """Rows with aggregates of their group."""
     keys = list(keys)
     stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
-    return join_unique(df, stats, keys, hot=hot)
+    return join_unique(df, stats, keys)
 
 
 def with_day_totals(df: DataFrame, key: str, ts: str, amount: str) -> DataFrame:
@@ -204,8 +199,7 @@ def learn_risk_values(df: DataFrame, col: str, label: str, bad: float = 0, good:
 def risk_exposure(df: DataFrame, key: str, col: str, values: DataFrame) -> DataFrame:
     """Per key: rows at bad and at risk-only values, whether there are any, and their share."""
     per_value = df.groupBy(key, col).agg(F.count(F.lit(1)).alias("_n"))
-    # A value's (key, value) pairs are no more than its rows, so its rows decide whether it is hot.
-    marked = join_unique(per_value, values, [col], hot=find_hot(df, [col]))
+    marked = join_unique(per_value, values, [col])
     n = F.col("_n")
     return marked.groupBy(key).agg(
         F.coalesce(F.sum(n * F.col("bad_seen")), F.lit(0)).alias("bad_cnt"),
@@ -273,10 +267,9 @@ def label_corr(df: DataFrame, cols: Iterable[str], label: str) -> DataFrame:
 
 def freq_items(df: DataFrame, cols: Iterable[str], support: float = 0.1) -> DataFrame:
     """Values that make up more than ``support`` of a column's rows, exactly."""
+    # A column's counts add up to the rows of the table; one row per column, and the counts' exchange is reused.
     counted = value_counts(df, cols)
-    total = df.agg(F.count(F.lit(1)).alias("_rows"))
-    # One row: the total meets every counted value through a constant key.
-    joined = counted.withColumn("_k", F.lit(1)).join(F.broadcast(total.withColumn("_k", F.lit(1))), "_k")
+    joined = counted.join(F.broadcast(counted.groupBy("col").agg(F.sum("cnt").alias("_rows"))), "col")
     return joined.where(F.col("cnt") > F.col("_rows") * support).select("col", "value", "cnt")
 
 
@@ -296,13 +289,25 @@ def _exact_quantiles(df: DataFrame, col: str, ps: list[float], bins: int = 4096)
 
     A pass cuts the interval around every wanted rank into bins and keeps the bin that holds the rank. Only
     bin counts reach the driver, no task ever holds the values, and a pass narrows each interval thousands of times.
+    Nulls and NaN are left out; infinities keep their place at the ends of the order.
     """
-    values = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    n, low, high = values.agg(F.count("_v"), F.min("_v"), F.max("_v")).first()
+    known = df.select(F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v")).persist()
+    try:
+        return _narrowed(known, ps, bins)
+    finally:
+        known.unpersist()
+
+
+def _narrowed(known: DataFrame, ps: list[float], bins: int) -> list[tuple[float, float | None]]:
+    infinity = float("inf")
+    n, under, over = known.agg(F.count("_v"), F.count_if(F.col("_v") == -infinity), F.count_if(F.col("_v") == infinity)).first()
     if not n:
         return [(p, None) for p in ps]
+    values = known.where(F.abs("_v") < infinity)
+    low, high = values.agg(F.min("_v"), F.max("_v")).first()
     ranks = {int(p * (n - 1)) for p in ps} | {min(int(p * (n - 1)) + 1, n - 1) for p in ps}
-    found, open_ = {}, {r: (low, high, 0) for r in ranks}  # rank -> (low, high, rows below low)
+    found = {r: -infinity for r in ranks if r < under} | {r: infinity for r in ranks if r >= n - over}
+    open_ = {r: (low, high, under) for r in ranks - found.keys()}  # rank -> (low, high, rows below low)
     while True:
         for r in [r for r, (lo, hi, _) in open_.items() if lo == hi]:
             found[r] = open_.pop(r)[0]
@@ -312,7 +317,8 @@ def _exact_quantiles(df: DataFrame, col: str, ps: list[float], bins: int = 4096)
         which, bin_ = F.lit(None).cast("int"), F.lit(None).cast("bigint")
         for i, (lo, hi, _) in enumerate(spans):
             inside = F.col("_v").between(lo, hi)
-            share = (F.col("_v") - F.lit(lo)) / F.lit(hi - lo)
+            # Halves, so that the width of the widest interval does not overflow.
+            share = (F.col("_v") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2)
             which = F.when(inside, F.lit(i)).otherwise(which)
             bin_ = F.when(inside, F.least(F.floor(share * bins), F.lit(bins - 1))).otherwise(bin_)
         counts = values.groupBy(which.alias("i"), bin_.alias("b")).agg(
@@ -328,7 +334,8 @@ def _exact_quantiles(df: DataFrame, col: str, ps: list[float], bins: int = 4096)
     for p in ps:
         at = p * (n - 1)
         a, b = found[int(at)], found[min(int(at) + 1, n - 1)]
-        out.append((p, a + (b - a) * (at - int(at))))
+        part = at - int(at)
+        out.append((p, a if a == b or not part or abs(a) == infinity else a + (b - a) * part))
     return out
 
 

@@ -1,61 +1,18 @@
-"""Hot keys: find them, split them off, and join back without sending one key to one task.
+"""Joins back to rows where one key may own a large share of them.
 
-A card (or merchant, or terminal) may own a large share of all rows. Plain grouping is safe,
-because Spark combines on the map side, but a window or an unsalted join would send every row
-of that key to a single task. Operators here take ``hot``:
-
-* ``"auto"`` - one cheap pass over the key columns lists the heavy keys,
-* a ``HotKeys`` value - reuse the list of an earlier call,
-* ``NO_HOT`` - the caller knows that no key is heavy, skip the pass,
-* ``ALL_HOT`` - every row given belongs to a heavy key.
-
-A chain of operators should split once, outside: ``by_heat`` runs the chain on both parts.
+There is one plan for every key. Grouping is safe, because Spark combines on the map side. A join against a table that holds a key
+once is an equi-join, where adaptive execution measures the shuffled partitions and splits those of a hot key. Ordered features are cut
+into parts of equal size in ``windows``. Nothing here lists hot keys, counts rows to choose a plan, or runs a job while planning.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key above this many rows takes the split path.
-HOT_ROWS = 200_000
-# The heaviest keys are listed up to this number, so the list always fits a broadcast. Every key
-# beyond it is lighter than all listed ones and so owns less than 1/10 000 of the rows.
-MAX_HOT_KEYS = 10_000
-
-
-@dataclass(frozen=True)
-class HotKeys:
-    keys: tuple[str, ...]
-    table: DataFrame | None
-    everything: bool = False
-
-    def __bool__(self) -> bool:
-        return self.everything or self.table is not None
-
-
-NO_HOT = HotKeys((), None)
-ALL_HOT = HotKeys((), None, True)
-
-
-def find_hot(df: DataFrame, keys: Iterable[str], hot_rows: int = HOT_ROWS) -> HotKeys:
-    """The heaviest keys with more than ``hot_rows`` rows, at most ``MAX_HOT_KEYS`` of them."""
-    keys = tuple(keys)
-    heavy = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *keys).limit(MAX_HOT_KEYS).select(*keys)
-    )
-    rows = heavy.collect()
-    return HotKeys(keys, df.sparkSession.createDataFrame(rows, heavy.schema) if rows else None)
-
-
-def resolve_hot(df: DataFrame, keys: Iterable[str], hot: HotKeys | str, hot_rows: int = HOT_ROWS) -> HotKeys:
-    return find_hot(df, keys, hot_rows) if isinstance(hot, str) else hot
-
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how: str = "left",
                    small: bool = False) -> DataFrame:
@@ -67,57 +24,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"_r_{k}" for k in keys])
 
 
-def split_hot(df: DataFrame, hot: HotKeys) -> tuple[DataFrame | None, DataFrame | None]:
-    """(rows of ordinary keys, rows of hot keys); a part known to be empty is None."""
-    if hot.everything:
-        return None, df
-    if not hot:
-        return df, None
-    return (
-        null_safe_join(df, hot.table, hot.keys, "left_anti", small=True),
-        null_safe_join(df, hot.table, hot.keys, "left_semi", small=True),
-    )
-
-
-def by_heat(df: DataFrame, keys: Iterable[str], chain: Callable[[DataFrame, HotKeys], DataFrame],
-            hot: HotKeys | str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Split the rows once and run ``chain(rows, hot)`` on each part."""
-    ordinary, heavy = split_hot(df, resolve_hot(df, keys, hot, hot_rows))
-    parts = []
-    if ordinary is not None:
-        parts.append(chain(ordinary, NO_HOT))
-    if heavy is not None:
-        parts.append(chain(heavy, ALL_HOT))
-    return reduce(lambda a, b: a.unionByName(b), parts)
-
-
-def join_unique(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left",
-                hot: HotKeys | str = "auto", hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Join rows to a table that holds each key once.
-
-    Ordinary keys meet in a shuffle join. For listed hot keys the right side has at most one row per
-    key, so it is broadcast and their rows stay where they are. Hot rows without a list are salted.
-    """
-    keys = list(keys)
-
-    def listed(rows: DataFrame, table: DataFrame) -> DataFrame:
-        few = null_safe_join(unique, table, keys, "left_semi", small=True)
-        return null_safe_join(rows, few, keys, how, small=True)
-
-    hot = resolve_hot(df, keys, hot, hot_rows)
-    ordinary, heavy = split_hot(df, hot)
-    if heavy is None:
-        return null_safe_join(ordinary, unique, keys, how)
-    # A list over other columns than the join's does not bound the right side.
-    heavy = listed(heavy, hot.table) if hot.keys == tuple(keys) else salted_join(heavy, unique, keys, how)
-    return heavy if ordinary is None else null_safe_join(ordinary, unique, keys, how).unionByName(heavy)
-
-
-def salted_join(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left", salts: int = 32,
-                spread: Iterable[str] = ()) -> DataFrame:
-    """Join where the rows of one key are spread over ``salts`` tasks and the right side is repeated for each."""
-    keys = list(keys)
-    spread = [F.col(c) for c in (spread or df.columns)]
-    left = df.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
-    right = unique.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return null_safe_join(left, right, [*keys, "_salt"], how).drop("_salt")
+def join_unique(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
+    """Join rows to a table that holds each key once. Adaptive execution splits a hot key's rows and repeats its one row."""
+    return null_safe_join(df, unique, keys, how)

@@ -1,4 +1,4 @@
-"""Queries over ordered features. The ``*_split`` ones force the plan for hot keys on every busy key."""
+"""Queries over ordered features. The ``*_split`` ones use so many parts that most keys span several."""
 
 from __future__ import annotations
 
@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import labels
 from riskloom.operators import windows as w
-from riskloom.operators.skew import HOT_ROWS, by_heat
 from riskloom.plans.registry import query, rounded
 
 CARD = ("card", "ts", "txn_id")
-# Far below any real threshold, so that small tables exercise the split plan too.
-SPLIT = {"hot_rows": 60, "block_rows": 16}
+SPLIT = {"parts": 97}
 
 PREV_SQL = """
 WITH p AS (SELECT *, lag(ts) OVER o AS pt, lag(cents) OVER o AS pa, lag(place) OVER o AS pp, lag(event_type) OVER o AS pe
@@ -78,17 +76,11 @@ SELECT txn_id, {', '.join(cols)}
 FROM g WINDOW {', '.join(windows)}"""
 
 
-def _velocity(t, frames, hot_rows=HOT_ROWS, **blocks):
-    made = []
-
-    def chain(rows, heat):
-        df = w.prev_interval(rows, *CARD, hot=heat, **blocks)
-        out = w.velocity(df, *CARD, "cents", frames, {"query": F.col("event_type") == "view", "highrisk": F.col("place") >= 90},
-                         "interval_minutes", "interval_bucket", "label", hot=heat, **blocks)
-        made[:] = [c for c in out.columns if c not in df.columns]
-        return out
-
-    return rounded(by_heat(t.txn, ["card"], chain, hot_rows=hot_rows).select("txn_id", *made))
+def _velocity(t, frames, **parts):
+    df = w.prev_interval(t.txn, *CARD, **parts)
+    out = w.velocity(df, *CARD, "cents", frames, {"query": F.col("event_type") == "view", "highrisk": F.col("place") >= 90},
+                     "interval_minutes", "interval_bucket", "label", **parts)
+    return rounded(out.select("txn_id", *[c for c in out.columns if c not in df.columns]))
 
 
 DAY_FRAMES = [w.TODAY, w.DAY1_INCL, w.DAY3_INCL, w.DAY3, w.DAY7, w.DAY30, w.HISTORY]
@@ -145,26 +137,32 @@ def places_revisited(t):
 
 
 HISTORY_SQL = """
-hist AS (SELECT l_suppkey, CAST(l_shipdate AS DATE) AS d, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS n
-  FROM lines WHERE label = 1),
-counts AS (SELECT DISTINCT l_suppkey, d,
-  count(*) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING) AS day3_fcnt,
-  count(*) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING) AS day7_fcnt,
-  count(*) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING) AS day30_fcnt FROM hist)"""
+days AS (SELECT l_suppkey, date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS n, sum(label) AS f FROM lines
+  WHERE l_suppkey IS NOT NULL AND l_shipdate IS NOT NULL GROUP BY ALL),
+counts AS (SELECT l_suppkey, n,
+  CAST(coalesce(sum(f) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 3 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS day3_fcnt,
+  CAST(coalesce(sum(f) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 7 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS day7_fcnt,
+  CAST(coalesce(sum(f) OVER (PARTITION BY l_suppkey ORDER BY n RANGE BETWEEN 30 PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS day30_fcnt FROM days)"""
 
 
-@query(f"WITH {HISTORY_SQL.strip()} SELECT l_suppkey, CAST(d AS VARCHAR) AS day, day3_fcnt, day7_fcnt, day30_fcnt FROM counts")
-def merchant_fraud_history(t):
-    lines = t.lines
-    h = w.entity_fraud_history(lines.where("label = 1"), "l_suppkey", "l_shipdate")
-    return h.withColumn("day", F.col("day").cast("string"))
+def _history(t):
+    return w.entity_fraud_history(t.lines, t.lines.where("label = 1"), "l_suppkey", "l_shipdate")
 
 
-@query(f"""WITH {HISTORY_SQL.strip()}
-SELECT l_orderkey, l_linenumber, coalesce(day3_fcnt, 0) AS day3_fcnt, coalesce(day7_fcnt, 0) AS day7_fcnt, coalesce(day30_fcnt, 0) AS day30_fcnt
-FROM lines LEFT JOIN counts ON lines.l_suppkey = counts.l_suppkey AND CAST(lines.l_shipdate AS DATE) = counts.d""")
+@query(f"WITH {HISTORY_SQL.strip()} SELECT l_suppkey, CAST(DATE '1970-01-01' + CAST(n AS INTEGER) AS VARCHAR)[:10] AS day, day3_fcnt, day7_fcnt, day30_fcnt FROM counts")
+def merchant_fraud_history(t):
+    return _history(t).select("l_suppkey", F.date_from_unix_date("_day").cast("string").alias("day"), "day3_fcnt", "day7_fcnt", "day30_fcnt")
+
+
+# Written without windows: count the frauds of the days before each row directly.
+@query("""
+WITH frauds AS (SELECT l_suppkey AS s, CAST(l_shipdate AS DATE) AS d, count(*) AS n FROM lines WHERE label = 1 GROUP BY ALL)
+SELECT l_orderkey, l_linenumber,
+  CAST(coalesce(sum(n) FILTER (WHERE d >= CAST(l_shipdate AS DATE) - 3), 0) AS BIGINT) AS day3_fcnt,
+  CAST(coalesce(sum(n) FILTER (WHERE d >= CAST(l_shipdate AS DATE) - 7), 0) AS BIGINT) AS day7_fcnt,
+  CAST(coalesce(sum(n), 0) AS BIGINT) AS day30_fcnt
+FROM lines LEFT JOIN frauds ON l_suppkey = s AND d >= CAST(l_shipdate AS DATE) - 30 AND d < CAST(l_shipdate AS DATE)
+GROUP BY l_orderkey, l_linenumber, l_shipdate, l_suppkey""")
 def merchant_fraud_history_on_rows(t):
-    lines = t.lines
-    h = w.entity_fraud_history(lines.where("label = 1"), "l_suppkey", "l_shipdate")
-    return labels.with_fraud_history(lines, h, "l_suppkey", "l_shipdate").select(
+    return labels.with_fraud_history(t.lines, _history(t), "l_suppkey", "l_shipdate").select(
         "l_orderkey", "l_linenumber", "day3_fcnt", "day7_fcnt", "day30_fcnt")

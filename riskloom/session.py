@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,10 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread rows over the cluster when they come from fewer files than it has cores.
-
-    For work that is heavy per row. A table of many files is already spread and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+def stored(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows that feed several branches, written once to the shared folder and read back as columns."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
