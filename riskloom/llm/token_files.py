@@ -13,11 +13,10 @@ prunes them.
 
 from __future__ import annotations
 
-import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,29 +25,70 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.llm.common import exact_ids
-from riskloom.llm.distinct import DistinctTable
 
 BLOCK = 1 << 20
 ROUNDS, RULES_PER_ROUND, LEAST = 4, 2048, 16
 BINS = 18
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
+# Byte symbols of byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others follow from 256 on.
+_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SYMBOL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+CONTROL = re.compile("[\x1c-\x1f]")
 
 
-class WordTable(DistinctTable):
+class WordTable(dict):
     """white-space-free word -> its ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and none of its steps looks across it, so words are encoded one by one.
+    The tokenizer drops white space and none of its steps looks across it, so words are encoded one by one, each distinct word once:
+    a Python worker keeps its table between tasks. Two generations of ``most`` words bound it; a word that was dropped is
+    encoded again, with the same ids.
     """
 
+    most, longest = 400_000, 48
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        super().__init__(WORD.findall, self.pack)
-
-    def pack(self, words: list[str]) -> Iterator[bytes]:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return (struct.pack(f"<{len(ids)}I", *ids) for ids in (x.ids for x in found))
+        self.model, self.old = self.tokenizer.model, {}
+
+    def __missing__(self, word: str) -> bytes:
+        packed = self.old.get(word)
+        if packed is None:
+            packed = self.segment(word)
+        if len(word) <= self.longest:
+            self[word] = packed
+        return packed
+
+    def segment(self, word: str) -> bytes:
+        body = word[:-1] if word[-1] in ".,;:!?" else word
+        low = body.lower()
+        if max(word) < "\u0250" and body.isalpha() and low.isalpha():
+            # Latin letters are normal already; lowered and written as byte symbols they are one piece for the model, and a mark
+            # behind them is the next piece. All other words go through the whole tokenizer.
+            ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(SYMBOL))]
+            return struct.pack(f"<{len(ids)}I", *ids) + (self[word[-1]] if len(body) < len(word) else b"")
+        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        for text in texts:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            # str.split() also takes four control characters for white space that the tokenizer does not.
+            words = WORD.findall(text) if CONTROL.search(text) else text.split()
+            yield b"".join(map(self.__getitem__, words))
+
+
+_tables: dict[str, WordTable] = {}
+
+
+def table_of(path: str) -> WordTable:
+    if path not in _tables:
+        _tables[path] = WordTable(path)
+    return _tables[path]
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
@@ -67,8 +107,8 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
         owner[slot[free]] = key[free]  # one pair speaks for a bin; others get another bin in the next round
         match = free & (owner[slot] == key)
         count = np.bincount(slot[match], minlength=1 << BINS)
-        best = np.argsort(-count, kind="stable")[:RULES_PER_ROUND]
-        best = best[count[best] >= LEAST]
+        best = np.flatnonzero(count >= LEAST)
+        best = best[np.argsort(-count[best], kind="stable")][:RULES_PER_ROUND]
         if not len(best):
             break
         rank = np.full(1 << BINS, len(best), np.int64)
@@ -152,8 +192,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, base: int = 1
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has one task for each core
-        words, shard, block, before = WordTable(tokenizer), TaskContext.get().partitionId(), 0, 0
+        words, shard, block, before = table_of(tokenizer), TaskContext.get().partitionId(), 0, 0
         keys: list = []
         parts: list[bytes] = []
         held = 0

@@ -9,7 +9,7 @@ P = pytest.importorskip("public_tokenizers")
 
 from riskloom.llm import pieces, token_files  # noqa: E402
 
-ALPHA = list(" \n\t\r▁aéßb<>/|スー🤖́　\xa0\x00.s'st​") + ["<s>", "</s>", "<unk>", "<|endoftext|>", "the "]
+ALPHA = list("\x1c\x1f\x85\u2028AbZ,; \n\t\r▁aéßb<>/|スー🤖́　\xa0\x00.s'st​") + ["<s>", "</s>", "<unk>", "<|endoftext|>", "the "]
 
 
 def fuzz(n, seed=1):
@@ -31,6 +31,7 @@ def test_words_equal_whole_text():
     words = token_files.WordTable(P.path("word_bpe_49k.json"))
     words.most = 50
     texts = ["", *fuzz(3000, 2)]
+    assert words.most == 50
     for text, packed in zip(texts, words.encode(texts)):
         assert memoryview(packed).cast("I").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
