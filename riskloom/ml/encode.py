@@ -9,6 +9,7 @@ from pyspark.ml.feature import (
     Bucketizer, FeatureHasher, MinMaxScaler, Normalizer, OneHotEncoder, QuantileDiscretizer, StandardScaler,
     StringIndexer, UnivariateFeatureSelector, VectorAssembler,
 )
+from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -142,6 +143,12 @@ def apply_woe(df: DataFrame, table: DataFrame, cols: Iterable[str], suffix: str
     return out.drop(*[f"_{c}" for c in cols])
 
 
+def chi2_table(df: DataFrame, features: str, label: str) -> DataFrame:
+    """(feature, dof, statistic) of the chi-square test of every categorical feature against the label."""
+    return ChiSquareTest.test(df, features, label, flatten=True).select(
+        F.col("featureIndex").alias("feature"), F.col("degreesOfFreedom").cast("bigint").alias("dof"), "statistic")
+
+
 def select_chi2(df: DataFrame, features: str, label: str, fpr: float = 0.05, out: str = "selected"):
     """Fitted selector of categorical features by the chi-square test at a false-positive rate."""
     selector = UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol=out, selectionMode="fpr")

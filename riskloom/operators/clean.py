@@ -44,11 +44,18 @@ def drop_null(df: DataFrame, cols: Iterable[str] | None = None) -> DataFrame:
 
 
 def low_cardinality(df: DataFrame, cols: Iterable[str], limit: int = 500, exact: bool = True) -> list[str]:
-    """Columns with fewer than ``limit`` values, decided in one aggregation over all of them."""
+    """Columns with fewer than ``limit`` values, decided in one pass over all of them.
+
+    The exact count reduces the long form to distinct values before it counts, so rows are not expanded into the shuffle.
+    """
     cols = list(cols)
-    count = F.count_distinct if exact else F.approx_count_distinct
-    row = df.agg(*[count(F.col(c)).alias(c) for c in cols]).first()
-    return [c for c in cols if row[c] < limit]
+    if exact:
+        from riskloom.operators.profile import distinct_counts
+
+        counts = {r["col"]: r["distinct_cnt"] for r in distinct_counts(df, cols).collect()}  # one row per column
+    else:
+        counts = df.agg(*[F.approx_count_distinct(F.col(c)).alias(c) for c in cols]).first().asDict()
+    return [c for c in cols if counts.get(c, 0) < limit]
 
 
 def to_double(df: DataFrame, cols: Iterable[str], keep: Iterable[str] = (), suffix: str = "_db") -> DataFrame:

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from riskloom.ml import encode, evaluate, models
+from riskloom.operators.labels import split
+from riskloom.operators.order import union_all
+from riskloom.plans.label_queries import bucket_sql
 from riskloom.plans.registry import query, rounded
+from riskloom.session import stored
 
 NUMBERS = ["l_quantity", "l_discount", "l_tax"]
 
@@ -83,11 +88,20 @@ def fixed_buckets(t):
     return encode.bucketize("cents", AMOUNT_EDGES, "bucket").transform(rows).select("txn_id", "bucket")
 
 
-@query()
+# Edges come from a sketch: every bucket holds its 15th within the rank error on both sides, ties at an edge apart.
+@query("SELECT count(*) AS rows, 15 AS buckets, true AS balanced, true AS ordered FROM txn")
 def quantile_buckets(t):
     rows = t.txn.select("txn_id", F.col("cents").cast("double").alias("cents"))
     out = encode.quantile_buckets("cents", 15, "bucket").fit(rows).transform(rows)
-    return out.groupBy("bucket").agg(F.count(F.lit(1)).alias("cnt"))
+    ties = rows.groupBy("cents").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("ties"))
+    sizes = out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+    after = F.lead("low").over(Window.orderBy("bucket"))  # one row per bucket
+    whole = sizes.withColumn("in_order", F.coalesce(F.col("high") < after, F.lit(True))).agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).cast("int").alias("buckets"), F.min("n").alias("least"), F.max("n").alias("most"),
+        F.bool_and("in_order").alias("ordered"))
+    slack = F.col("rows") * 0.002 + F.col("ties") + 1
+    return whole.join(F.broadcast(ties)).select("rows", "buckets", (
+        (F.col("most") <= F.col("rows") / 15 + slack) & (F.col("least") >= F.col("rows") / 15 - slack)).alias("balanced"), "ordered")
 
 
 WOE_COLS = ["l_suppkey", "l_linestatus", "l_linenumber"]
@@ -133,13 +147,26 @@ def hashed_vectors(t):
     return rounded(out.select("p_partkey", v[0].alias("x"), v[1].alias("y")))
 
 
-@query()
+# The statistic is exact in SQL; the selector's limit is the 5 % point, here by the Wilson-Hilferty formula.
+CHI2_SQL = """SELECT CAST({i} AS INTEGER) AS feature, x, y, count(*) AS n FROM (SELECT {x} AS x, cents > 3000 AS y FROM txn) GROUP BY x, y"""
+CHI2_PARTS = " UNION ALL ".join(CHI2_SQL.format(i=i, x=x) for i, x in enumerate(["hour(ts)", "floor(log10(cents + 1))", "place"]))
+
+
+@query(f"""
+WITH c AS ({CHI2_PARTS}),
+r AS (SELECT feature, x, sum(n) AS nx FROM c GROUP BY ALL), k AS (SELECT feature, y, sum(n) AS ny FROM c GROUP BY ALL), t AS (SELECT count(*) AS n FROM txn),
+s AS (SELECT r.feature, sum(pow(coalesce(c.n, 0) - nx * ny / CAST(t.n AS DOUBLE), 2) / (nx * ny / CAST(t.n AS DOUBLE))) AS stat,
+    (count(DISTINCT r.x) - 1) * (count(DISTINCT k.y) - 1) AS dof
+  FROM r JOIN k ON r.feature = k.feature CROSS JOIN t LEFT JOIN c ON c.feature = r.feature AND c.x = r.x AND c.y = k.y GROUP BY r.feature)
+SELECT feature, CAST(dof AS BIGINT) AS dof, round(stat, 4) AS statistic,
+  stat > dof * pow(1 - 2 / (9e0 * dof) + 1.6448536 * sqrt(2 / (9e0 * dof)), 3) AS selected FROM s""")
 def chi_square_selection(t):
     rows = t.txn.select(F.hour("ts").cast("double").alias("hour"), F.floor(F.log10(F.col("cents") + 1)).cast("double").alias("digits"),
                         F.col("place").cast("double").alias("place"), (F.col("cents") > 3000).cast("double").alias("label"))
     vectors = encode.assemble(["hour", "digits", "place"]).transform(rows)
-    model = encode.select_chi2(vectors, "features", "label")
-    return t.spark.createDataFrame([(int(i),) for i in model.selectedFeatures], "feature int")
+    chosen = set(encode.select_chi2(vectors, "features", "label").selectedFeatures)
+    out = encode.chi2_table(vectors, "features", "label")
+    return rounded(out.withColumn("selected", F.col("feature").isin(*chosen) if chosen else F.lit(False)), 4)
 
 
 # --- models -----------------------------------------------------------------------------------
@@ -150,31 +177,46 @@ def _training(t):
     return encode.assemble(["cents", "hour", "place"]).transform(rows)
 
 
-@query()
+# Models are trained on four fifths of the rows and score the held-out fifth. Which rows those are, their labels and the
+# range of the scores are the same in every engine.
+HELD_SQL = f"FROM txn WHERE {bucket_sql('txn_id', 7)} >= 800000"
+SCORED_SQL = f"SELECT txn_id, CAST(label AS DOUBLE) AS label, true AS is_class, true AS in_range {HELD_SQL}"
+
+
+def _held_out(t):
+    return split(_training(t), "txn_id", [0.8, 0.2], 7)
+
+
+def _scored(scored):
+    p = vector_to_array("probability")
+    return scored.select("txn_id", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"),
+                         (p[1].between(0.0, 1.0) & (F.abs(p[0] + p[1] - 1) < 1e-9)).alias("in_range"))
+
+
+@query(SCORED_SQL)
 def random_forest_scores(t):
-    rows = _training(t)
-    model = models.train_rf(rows, models.FOREST_TINY)
-    return model.transform(rows).select("txn_id", "label", "prediction", F.round(vector_to_array("probability")[1], 6).alias("score"))
+    train, test = _held_out(t)
+    return _scored(models.train_rf(train, models.FOREST_WIDE).transform(test))
 
 
-@query()
+@query("SELECT unnest(['cents', 'hour', 'place']) AS feature, true AS is_share, 1e0 AS whole")
 def random_forest_importances(t):
-    cfg = models.ForestConfig(20, 5, 256, 10, 0.5, (3.0, 1.0))
-    return evaluate.importances(models.train_rf(_training(t), cfg), ["cents", "hour", "place"], t.spark)
+    train, _ = _held_out(t)
+    out = evaluate.importances(models.train_rf(train, models.FOREST_COST), ["cents", "hour", "place"], t.spark)
+    return out.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"),
+                      F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("whole"))
 
 
-@query()
+@query(SCORED_SQL)
 def boosted_tree_scores(t):
-    rows = _training(t)
-    model = models.train_gbt(rows, iterations=5, depth=3, step=0.1, bins=64)
-    return model.transform(rows).select("txn_id", "label", "prediction")
+    train, test = _held_out(t)
+    return _scored(models.train_gbt(train).transform(test))
 
 
-@query()
+@query("SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM txn WHERE CAST(ts AS DATE) = DATE '2024-01-11'")
 def forest_trained_by_day(t):
-    rows = _training(t)
-    _, scored = models.train_test_by_day(rows, "ts", "2024-01-10", "2024-01-11")
-    return evaluate.confusion(scored)
+    _, scored = models.train_test_by_day(_training(t), "ts", "2024-01-10", "2024-01-11", models.FOREST_SMALL)
+    return evaluate.confusion(scored).selectExpr("tp + fn AS positives", "tn + fp AS negatives")
 
 
 def _points(t):
@@ -183,16 +225,23 @@ def _points(t):
     return t.embeddings.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-@query()
+@query("SELECT vec_id, 1 AS clusters FROM embeddings")
 def k_means_members(t):
-    points = _points(t)
+    """Every vector is a member of exactly one of the ten clusters."""
+    points = stored(_points(t), "points")
     model = models.cluster(points, 10, 1)
-    return models.cluster_members(model, points, 0).select("vec_id", "prediction")
+    members = [models.cluster_members(model, points, k).select("vec_id") for k in range(10)]
+    return union_all(*members).groupBy("vec_id").agg(F.count(F.lit(1)).cast("int").alias("clusters"))
 
 
-@query()
+@query("""
+SELECT unnest([5, 10, 15, 20, 25, 30]) AS k, true AS below_total FROM (SELECT 1)
+""")
 def k_means_cost_scan(t):
-    return models.k_scan(_points(t), [5, 10, 15, 20])
+    points = t.embeddings.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
+    total = points.groupBy("i").agg((F.var_pop("v") * F.count("v")).alias("s")).agg(F.sum("s")).first()[0]
+    return models.k_scan(_points(t), [5, 10, 15, 20, 25, 30]).select(
+        "k", ((F.col("cost") > 0) & (F.col("cost") <= total)).alias("below_total"))
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -230,7 +279,13 @@ def roc_area(t):
     return t.spark.createDataFrame([(round(evaluate.auc(rows), 6),)], "roc double")
 
 
-@query()
+# Trapezoids over (recall, precision) from the highest score down, starting at recall 0 with the first precision.
+@query("""
+WITH s AS (SELECT l_discount AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) AS n FROM lines GROUP BY l_discount),
+c AS (SELECT s, sum(p) OVER (ORDER BY s DESC) / CAST(sum(p) OVER () AS DOUBLE) AS r, sum(p) OVER (ORDER BY s DESC) / CAST(sum(n) OVER (ORDER BY s DESC) AS DOUBLE) AS q FROM s),
+e AS (SELECT r - coalesce(lag(r) OVER (ORDER BY s DESC), 0) AS w, (q + coalesce(lag(q) OVER (ORDER BY s DESC), q)) / 2 AS h FROM c)
+SELECT round(sum(w * h), 6) AS pr FROM e
+""")
 def precision_recall_area(t):
     rows = t.lines.select(F.col("label").cast("double").alias("label"), F.col("l_discount").alias("rawPrediction"))
     return t.spark.createDataFrame([(round(evaluate.auc(rows, "areaUnderPR"), 6),)], "pr double")

@@ -6,7 +6,11 @@ from pyspark.sql import functions as F
 
 from riskloom.operators import clean, labels
 from riskloom.operators import profile as pf
+from riskloom.operators.clean import risk_flag_pairs
 from riskloom.plans.registry import query, rounded
+from riskloom.schema import (
+    CARDHOLDER_FAILURE_CODES, HIGH_RISK_MCC, HIGH_RISK_REGION_PREFIXES, LOW_RISK_MCC, MCC_GROUPS, RESPONSE_OK,
+)
 
 MONTHS = 79
 
@@ -295,9 +299,14 @@ def exact_quantiles(t):
     return rounded(pf.quantiles(t.orders, "o_totalprice", [0.2, 0.4, 0.6, 0.8], exact=True), 4)
 
 
-@query()
+# The sketch may be off by a rank error of rows / accuracy, so the result is the promise it keeps.
+@query("SELECT unnest([0.2, 0.4, 0.6, 0.8]::DOUBLE[]) AS probability, true AS within_bound")
 def approximate_quantiles(t):
-    return pf.quantiles(t.orders, "o_totalprice", [0.2, 0.4, 0.6, 0.8])
+    found = pf.quantiles(t.orders, "o_totalprice", [0.2, 0.4, 0.6, 0.8])
+    met = t.orders.where("o_totalprice IS NOT NULL").select("o_totalprice").join(F.broadcast(found), F.col("o_totalprice") <= F.col("value"))
+    ranks = met.groupBy("probability").agg(F.count(F.lit(1)).alias("rank"))
+    n = t.orders.where("o_totalprice IS NOT NULL").count()
+    return ranks.select("probability", (F.abs(F.col("rank") - F.col("probability") * n) <= n / 10_000 + 1).alias("within_bound"))
 
 
 @query("""
@@ -417,3 +426,38 @@ WINDOW w AS (PARTITION BY card, CAST(ts AS DATE))
 """)
 def day_totals_on_rows(t):
     return pf.with_day_totals(t.txn, "card", "ts", "cents").select("txn_id", "day_tot_amt", "day_tot_cnt")
+
+
+# --- the fixed code lists ---------------------------------------------------------------------
+
+# Merchant category, region and response codes made from the keys of a line, so that all fixed lists are met.
+CODES_SQL = """codes AS (SELECT l_orderkey, l_linenumber, l_suppkey, lpad(CAST(1000 + l_partkey * 37 % 9000 AS VARCHAR), 4, '0') AS mcc,
+  lpad(CAST(l_suppkey % 70 AS VARCHAR), 2, '0') AS region, (['00', '51', '55', '61', '65', '75', '05'])[l_linenumber] AS response FROM lines)"""
+
+
+def _codes(t):
+    text = lambda c: F.lpad(c.cast("string"), 4, "0")
+    responses = F.array(*[F.lit(x) for x in ("00", "51", "55", "61", "65", "75", "05")])
+    return t.lines.select(
+        "l_orderkey", "l_linenumber", "l_suppkey", text(1000 + F.col("l_partkey") * 37 % 9000).alias("mcc"),
+        F.lpad((F.col("l_suppkey") % 70).cast("string"), 2, "0").alias("region"), F.element_at(responses, F.col("l_linenumber").cast("int")).alias("response"))
+
+
+CODE_RULES = {"high_risk_mcc": ("mcc", HIGH_RISK_MCC), "low_risk_mcc": ("mcc", LOW_RISK_MCC), "risky_region": ("region", HIGH_RISK_REGION_PREFIXES),
+              "accepted": ("response", [RESPONSE_OK]), "cardholder_failure": ("response", CARDHOLDER_FAILURE_CODES)}
+
+
+def _in(col: str, values) -> str:
+    return f"coalesce({col} IN ({', '.join(repr(v) for v in values)}), false)"
+
+
+@query(f"""WITH {CODES_SQL} SELECT l_orderkey, l_linenumber, {', '.join(
+    f"CASE WHEN {_in(c, v)} THEN 1e0 ELSE 0e0 END AS is_{n}, CASE WHEN {_in(c, v)} THEN 0e0 ELSE 1e0 END AS not_{n}" for n, (c, v) in CODE_RULES.items())} FROM codes""")
+def fixed_risk_flags(t):
+    return risk_flag_pairs(_codes(t), CODE_RULES).drop("l_suppkey", "mcc", "region", "response")
+
+
+@query(f"""WITH {CODES_SQL} SELECT l_suppkey, {', '.join(f"count(*) FILTER (WHERE {_in('mcc', v)}) AS {n}_cnt" for n, v in MCC_GROUPS.items())}
+FROM codes GROUP BY l_suppkey""")
+def merchant_group_counts(t):
+    return pf.group_counts(_codes(t), "l_suppkey", "mcc", MCC_GROUPS)

@@ -200,15 +200,16 @@ def filtered_labelled_rows(t):
 
 
 @query("""
-SELECT col, n AS distinct_cnt FROM (
+SELECT col FROM (
   SELECT 'o_orderstatus' AS col, count(DISTINCT o_orderstatus) AS n FROM orders UNION ALL
   SELECT 'o_orderpriority', count(DISTINCT o_orderpriority) FROM orders UNION ALL
   SELECT 'o_custkey', count(DISTINCT o_custkey) FROM orders) WHERE n < 500
 """)
 def low_cardinality_columns(t):
-    from riskloom.operators.profile import distinct_counts
+    from riskloom.operators.clean import low_cardinality
 
-    return distinct_counts(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey"]).where(F.col("distinct_cnt") < 500)
+    few = low_cardinality(t.orders, ["o_orderstatus", "o_orderpriority", "o_custkey"], 500)
+    return t.spark.createDataFrame([(c,) for c in few], "col string")
 
 
 @query("""

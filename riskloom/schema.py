@@ -17,12 +17,6 @@ FRAUD_LIST_COLUMNS = ["sys_tra_no", "pri_acct_no_conv", "mchnt_cd", "pdate", "fr
 FRAUD_LIST_LONG_COLUMNS = [
     "sys_tra_no", "trans_dt", "tfr_dt_tm", "pri_acct_no_conv", "term_id", "trans_region", "mchnt_cd", "fraud_tp",
 ]
-METRO_COLUMNS = ["card", "trans_at", "tfr_dt_tm", "ext_extend_inf_28", "mchnt_tp"]
-QR_STAT_SCHEMA = (
-    "card string, QR_cnt int, QR_cnt_ratio double, QR_avg_RMB double, QR_date_cnt int, QR_mcc_tps int"
-)
-CREDIT_LABEL_SCHEMA = "certid string, label int"
-DATE_DICTIONARY_SCHEMA = "Settle_dt string, date_No int"
 
 HIGH_RISK_REGION_PREFIXES = ["39", "40", "41", "42", "43", "44", "64"]
 HIGH_RISK_MCC = [
@@ -35,11 +29,6 @@ LOW_RISK_MCC = [
 ]
 RESPONSE_OK = "00"
 CARDHOLDER_FAILURE_CODES = ["51", "55", "61", "65", "75"]
-NORMAL_RATES = ["30001000", "61000000"]
-NO_AUTH_CODE = "N"
-SPECIAL_AUTH_CODE = "Y012345"
-ENQUIRY_TRANSACTION = "S00"
-QR_EXTENSION_MARKS = ["Y", "Z"]
 NIGHT_HOURS = [23, 0, 1, 2, 3, 4, 5]
 # The shorter merchant-category groups; a caller adds its own through ``group_counts(groups=...)``.
 MCC_GROUPS = {

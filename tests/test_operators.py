@@ -103,3 +103,35 @@ def test_freq_items_and_moments(spark):
     assert {r.value for r in pf.freq_items(df, ["v"], 0.25).collect()} == {"a", "b"}
     r = pf.activity_moments(df, "v").first()
     assert r.avg_cnt == pytest.approx(10 / 3) and r.var_cnt == pytest.approx((36 + 9 + 1) / 3 - (10 / 3) ** 2)
+
+
+def test_rows_without_a_label_stay(spark):
+    df = spark.createDataFrame([(1, "a", 1), (2, "a", 0), (3, "b", 0), (4, "b", None), (5, "a", -1), (6, None, None)], "id int, card string, y int")
+    assert sorted(r.id for r in lb.drop_confusable(df, "card", "y").collect()) == [1, 3, 4, 5, 6]
+    assert sorted(r.id for r in lb.rebalance(df, "y", "id", {0: 0.0}).collect()) == [1, 4, 5, 6]
+
+
+def test_hash_vector_keeps_rows_without_a_text(spark):
+    df = spark.createDataFrame([(1, "x", "y"), (2, None, "y"), (3, None, None)], "id int, a string, b string")
+    rows = {r.id: r.norm_features for r in encode.hash_vector(df, ["a", "b"]).collect()}
+    assert sorted(rows) == [1, 2, 3] and list(rows[3]) == pytest.approx([-(0.5 ** 0.5)] * 2)
+
+
+def test_exact_quantiles_of_awkward_numbers(spark):
+    inf = float("inf")
+    df = spark.createDataFrame([(float(x),) for x in (1, 2, 3, "nan", inf, -inf, 4, 1.7e308, -1.7e308)] + [(None,)], "v double")
+    got = [r.value for r in pf.quantiles(df, "v", [0.0, 1 / 7, 0.5, 1.0], exact=True).collect()]
+    assert got == [-inf, -1.7e308, 2.5, inf]
+    only = spark.createDataFrame([(inf,), (inf,), (float("nan"),)], "v double")
+    assert [r.value for r in pf.quantiles(only, "v", [0.1, 0.9], exact=True).collect()] == [inf, inf]
+
+
+def test_one_hot_has_a_slot_for_each_level(spark):
+    df = spark.createDataFrame([(0.0,), (1.0,), (2.0,)], "i double")
+    assert {len(r.i_vec) for r in encode.one_hot(["i"]).fit(df).transform(df).collect()} == {3}
+
+
+def test_too_many_categories_fail_early(spark):
+    df = spark.range(5000).withColumn("c", F.col("id").cast("string"))
+    with pytest.raises(ValueError):
+        encode.check_categories(df, ["c"], 1000)
