@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from riskloom.ml import encode
+from riskloom.operators import graph, order
 from riskloom.plans.registry import query
 from riskloom.sources import readers as rd
 from riskloom.sources import writers as wr
@@ -130,3 +134,38 @@ def stage_round_trip(t):
     path = t.scratch("stage")
     wr.write_stage(t.txn.select("txn_id", "card", F.date_format("ts", "yyyy-MM-dd").alias("day")), path, ["day"])
     return rd.read_stage(t.spark, path).select("txn_id", "card", F.col("day").cast("string").alias("day"))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier")
+def managed_table_round_trip(t):
+    name = f"supplier_{uuid.uuid4().hex}"
+    wr.write_table(t.supplier.select("s_suppkey", "s_name"), name, "s_suppkey", 4)
+    return t.spark.table(name)
+
+
+@query("""
+WITH f AS (SELECT event_type, row_number() OVER (ORDER BY count(*) DESC, event_type) - 1 AS i FROM txn GROUP BY event_type)
+SELECT txn_id, CAST(f.i AS DOUBLE) AS event_type_idx FROM txn JOIN f USING (event_type)
+""")
+def model_round_trip(t):
+    rows, path = t.txn.select("txn_id", "event_type"), t.scratch("model")
+    wr.save_model(encode.index_categories(["event_type"]).fit(rows), path)
+    return wr.load_model(path).transform(rows).select("txn_id", "event_type_idx")
+
+
+@query("""
+SELECT CAST(c_custkey * 2 AS VARCHAR) AS start, 10 AS lines, 12 AS nodes FROM customer UNION ALL
+SELECT CAST(n * 2 + 1 AS VARCHAR), 10, 12 FROM (SELECT DISTINCT c_nationkey AS n FROM customer)
+""")
+def walk_files(t):
+    edges = t.customer.select((F.col("c_custkey") * 2).alias("src"), (F.col("c_nationkey") * 2 + 1).cast("bigint").alias("dst"), F.lit(1.0).alias("weight"))
+    path = t.scratch("walks")
+    wr.save_walks(graph.random_walks(graph.neighbors(edges), length=10), path)
+    parts = F.split("value", "\t")
+    return t.spark.read.text(path).groupBy(parts[0].alias("start")).agg(
+        F.count(F.lit(1)).cast("int").alias("lines"), F.max(F.size(parts)).alias("nodes"))
+
+
+@query("SELECT least(5, count(*)) AS rows FROM orders")
+def first_rows(t):
+    return order.head(t.orders, 5).agg(F.count(F.lit(1)).alias("rows"))

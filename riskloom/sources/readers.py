@@ -23,14 +23,16 @@ def read_daily_log(spark: SparkSession, base: str, start: str, end: str, columns
                    pattern: str = "{base}/{day}*", codes: Iterable[str] | None = None) -> DataFrame:
     """Quoted comma logs, one file or folder per day, for ``start`` .. ``end`` (``yyyyMMdd``), in one scan.
 
-    ``pdate`` comes from the file name. Institution codes present in ``columns`` are split.
+    ``pdate`` comes from the file name. Institution codes present in ``columns`` are split. The days are one glob, so a day
+    without a file is no error.
     """
-    paths = [pattern.format(base=base, day=d) for d in _days(start, end)]
-    raw = spark.read.csv(paths, schema=text_schema(columns), sep=",", quote='"', escape='"')
+    path = pattern.format(base=base, day="{" + ",".join(_days(start, end)) + "}")
+    raw = spark.read.csv(path, schema=text_schema(columns), sep=",", quote='"', escape='"')
     name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
     parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
-    in_name = F.regexp_extract(name, r"(\d{8})", 1)
-    pdate = F.when(in_name != "", in_name).otherwise(F.regexp_extract(parent, r"(\d{8})", 1))
+    # A day begins the name of a file or folder, or follows "="; other digits are part of some file's random name.
+    in_name, in_parent = (F.regexp_extract(x, r"^(?:[^/=]*=)?(\d{8})", 1) for x in (name, parent))
+    pdate = F.when(in_name != "", in_name).otherwise(in_parent)
     df = raw.select(*columns, pdate.alias("pdate"))
     wanted = codes if codes is not None else [c for c in INSTITUTION_CODES if c in columns]
     return split_code(df, wanted) if wanted else df
@@ -106,9 +108,9 @@ def read_node_ids(spark: SparkSession, path: str, sep: str = " ") -> DataFrame:
     return spark.read.csv(path, sep=sep, schema="name string, id bigint")
 
 
-def read_risk_list(spark: SparkSession, path: str, col: str, kind: str = "string") -> DataFrame:
-    """One column of a headered report written by an earlier job, as distinct values."""
-    report = spark.read.csv(path, header=True)
+def read_risk_list(spark: SparkSession, path: str, col: str, kind: str = "string", columns: Sequence[str] | None = None) -> DataFrame:
+    """One column of a headered report written by an earlier job, as distinct values. ``columns`` are those of the report (default: only ``col``)."""
+    report = spark.read.csv(path, header=True, schema=text_schema(columns or [col]), enforceSchema=False)  # a header that differs is an error
     return report.select(F.col(col).try_cast(kind).alias(col)).where(F.col(col).isNotNull()).distinct()
 
 

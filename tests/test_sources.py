@@ -54,7 +54,7 @@ def test_reports_and_stages(spark, tmp_path):
     wr.write_report(df, str(tmp_path / "r"), single=True)
     assert len(list((tmp_path / "r").glob("*.csv"))) == 1
     assert rd.read_csv_typed(spark, str(tmp_path / "r"), "id bigint, kind string").count() == 10
-    assert {r.kind for r in rd.read_risk_list(spark, str(tmp_path / "r"), "kind").collect()} == {"0", "1", "2"}
+    assert {r.kind for r in rd.read_risk_list(spark, str(tmp_path / "r"), "kind", columns=["id", "kind"]).collect()} == {"0", "1", "2"}
     wr.write_reports_by(df, "kind", str(tmp_path / "by"))
     assert sorted(p.name for p in (tmp_path / "by").glob("kind=*")) == ["kind=0", "kind=1", "kind=2"]
     wr.write_stage(df, str(tmp_path / "s"))
@@ -83,3 +83,10 @@ def test_models_and_walks(spark, tmp_path):
     wr.save_embedding(g.node_vectors(g.embed(walks, dim=4, window=2), ids), str(tmp_path / "v"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "v")).collect()]
     assert sorted(x.split("\t")[0] for x in lines) == ["n1", "n2", "n3"] and all(len(x.split(",")) == 4 for x in lines)
+
+
+def test_daily_log_with_a_missing_day(spark, tmp_path):
+    for day in ("20240101", "20240103"):
+        spark.createDataFrame([(day, "x")], "a string, b string").write.csv(str(tmp_path / f"{day}.log"))
+    rows = rd.read_daily_log(spark, str(tmp_path), "20240101", "20240104", ["a", "b"]).collect()
+    assert sorted((r.a, r.pdate) for r in rows) == [("20240101", "20240101"), ("20240103", "20240103")]
