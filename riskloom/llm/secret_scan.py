@@ -51,6 +51,10 @@ def blob_of(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
 
 
+def _long_enough(parts: Column, least: int) -> Column:
+    return F.transform(parts, lambda x: F.length(x) >= least)
+
+
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows of ``blobs`` (blob, text, seen array of rule keys).
 
@@ -64,8 +68,7 @@ def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     for r in rules:
         some = F.size(f"hit_{r.name}") > 0
         measured = F.transform(f"hit_{r.name}", lambda x: F.length(x))
-        kept = F.transform(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)), lambda x, least=r.least: F.length(x) >= least) \
-            if r.least else F.transform(f"hit_{r.name}", lambda x: F.lit(True))
+        kept = _long_enough(F.regexp_extract_all(text, F.lit(r.pattern), F.lit(r.group)), r.least)
         gaps = F.transform(F.split(text, r.pattern, -1), lambda x: F.length(x))
         parts.append(F.struct(
             F.lit(r.key).alias("rule"), (~F.array_contains("seen", r.key)).alias("new"),
