@@ -19,6 +19,37 @@ def _spans(rule: secret_scan.Rule) -> str:
     WHERE {keep}"""
 
 
+OP1 = """WITH RECURSIVE tab AS (SELECT list(v ORDER BY i) AS crc FROM (SELECT i, list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) t(i))),
+pts AS (SELECT pos, shard, row_number() OVER (ORDER BY pos, shard) - 1 AS arc FROM (
+  SELECT s AS shard, ('0x' || substr(md5('shard-' || s || '/' || v), 1, 8))::BIGINT AS pos FROM range(16) a(s), range(128) b(v))),
+docs AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+  xor(list_reduce(list_prepend(4294967295, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT)),
+    lambda c, b: xor(c // 256, crc[xor(c % 256, b) + 1])), 4294967295) AS text_crc32,
+  md5(coalesce(CAST(doc_id AS VARCHAR), chr(0))) AS h FROM documents, tab),
+met AS (SELECT d.*, coalesce(p.arc, 0) AS arc FROM (SELECT *, ('0x' || substr(h, 1, 8))::BIGINT AS p FROM docs) d ASOF LEFT JOIN pts p ON d.p <= p.pos),
+arcs AS (SELECT p.arc, p.shard, coalesce(n, 0) AS n FROM pts p LEFT JOIN (SELECT arc, count(*) AS n FROM met GROUP BY arc) c ON c.arc = p.arc),
+total AS (SELECT sum(n) AS n, greatest(1, floor(sqrt(max(n)))) AS fine FROM arcs),
+caps AS (SELECT s AS shard, n // 16 + CASE WHEN s < n % 16 THEN 1 ELSE 0 END AS cap FROM range(16) a(s), total),
+home AS (SELECT a.*, cap, sum(a.n) OVER (PARTITION BY a.shard ORDER BY arc) - a.n AS earlier FROM arcs a JOIN caps c ON c.shard = a.shard),
+stay AS (SELECT *, greatest(0, least(n, cap - earlier))::BIGINT AS stays, least(cap, earlier)::BIGINT AS base FROM home),
+over AS (SELECT *, (sum(n - stays) OVER (ORDER BY arc) - (n - stays))::BIGINT AS over_before FROM stay),
+lists AS (SELECT list(shard ORDER BY arc) AS shards, list_append(list(over_before ORDER BY arc), sum(n - stays)::BIGINT) AS arrived FROM over),
+rooms AS (SELECT list(room ORDER BY shard) AS room FROM (SELECT shard, (any_value(cap) - sum(stays))::BIGINT AS room FROM stay GROUP BY shard)),
+sweep(step, served, room, take, shard, slot) AS (
+  SELECT -1::BIGINT, 0::BIGINT, room, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM rooms
+  UNION ALL
+  SELECT step, served, list_transform(room, lambda r, i: CASE WHEN i = shard + 1 THEN r - take ELSE r END), take, shard, slot FROM (
+    SELECT step, served, room, shard, least(arrived[least(step, 2048) + 1] - served, room[shard + 1]) AS take, cap - room[shard + 1] AS slot FROM (
+      SELECT w.step + 1 AS step, w.served + w.take AS served, w.room, l.shards[((w.step + 1) % 2048) + 1] AS shard, l.arrived
+      FROM sweep w, lists l WHERE w.step < 4095) JOIN (SELECT shard AS s, cap::BIGINT AS cap FROM caps) ON s = shard)),
+ranked AS (SELECT m.*, row_number() OVER (PARTITION BY m.arc ORDER BY floor(('0x' || substr(h, 9, 8))::BIGINT * fine / 4294967296), h, doc_id, size, text_crc32) - 1 AS r
+  FROM met m, total),
+known AS (SELECT k.*, o.shard AS own, o.stays, o.base, o.over_before + k.r - o.stays AS o FROM ranked k JOIN over o ON o.arc = k.arc),
+moved AS (SELECT doc_id, size, text_crc32, w.shard, w.slot + k.o - w.served AS slot FROM known k JOIN sweep w ON k.r >= k.stays AND k.o >= w.served AND k.o < w.served + w.take)
+SELECT doc_id, size, text_crc32, 'rows' AS law, own::INT AS shard, base + r AS slot, NULL::INT AS grown_shard FROM known WHERE r < stays
+UNION ALL SELECT doc_id, size, text_crc32, 'rows', shard::INT, slot, NULL::INT FROM moved"""
+
 OP2 = f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 spans AS ({' UNION ALL '.join(_spans(r) for r in secret_scan.RULES)}),
 per AS (SELECT doc_id,
@@ -97,4 +128,4 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
   AND 2 * n_upper <= word_chars AND 2 * n_marks <= n_words AND 2 * n_dup_lines <= n_lines AND 50 * n_stop >= n_words AS kept FROM f"""
 
-TWINS = {"op2_secret_scans": OP2, "op3_minhash": OP3, "op4_embeddings": OP4, "op6_mixing": OP6, "op10_quality_rules": OP10}
+TWINS = {"op1_sharding": OP1, "op2_secret_scans": OP2, "op3_minhash": OP3, "op4_embeddings": OP4, "op6_mixing": OP6, "op10_quality_rules": OP10}
