@@ -135,10 +135,11 @@ def fit_weights(pages: DataFrame, url: str = "url", page: str = "html", sample:
             names = sorted((set(inner) | set(outer)) & (BLOCKS | NEVER | VOID | {"#word", "a", "b", "i", "em", "strong", "span"}))
             yield pd.DataFrame({"name": names, "inner": [inner[k] for k in names], "outer": [outer[k] for k in names]})
 
-    marked = pages.where(F.col(f"`{page}`").rlike(r"(?i)<(article|main)[\s>]")).select(
-        F.md5(F.coalesce(F.col(f"`{url}`"), F.lit(""))).alias("h"), F.col(f"`{page}`").alias("page"))
-    chosen = marked.orderBy("h", "page").limit(sample).select("page")
-    rows = written(chosen.repartition(8).mapInPandas(run, "name string, inner bigint, outer bigint"), "page-counts").groupBy("name").agg(
+    digest = F.md5(F.concat(F.coalesce(F.col(f"`{url}`"), F.lit("")), F.lit(" "), F.md5(F.col(f"`{page}`"))))
+    marked = pages.where(F.col(f"`{page}`").rlike(r"(?i)<(article|main)[\s>]")).select(digest.alias("h"), F.col(f"`{page}`").alias("page"))
+    # Only hashes are sorted; pages are taken by the largest hash of the sample, so none of them travels. Equal pages count together.
+    edge = marked.select("h").orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    rows = written(marked.where(F.col("h") <= edge).select("page").mapInPandas(run, "name string, inner bigint, outer bigint"), "page-counts").groupBy("name").agg(
         F.sum("inner").alias("inner"), F.sum("outer").alias("outer")).collect()
     total = [sum(r[side] for r in rows) + 1 for side in ("inner", "outer")]
     odds = {r["name"]: math.log((r["inner"] + 1) / total[0]) - math.log((r["outer"] + 1) / total[1]) for r in rows}
