@@ -81,24 +81,28 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
             audit = np.random.default_rng(seed).permutation(len(q_ids))[:AUDIT]
             found, got = within(Hnsw.unpack(unit, t.graph), q_unit.astype(np.float32), least - 1e-4, ef, audit, recall)
             norm, q_norm = np.sqrt((raw * raw).sum(1)), np.sqrt((q_raw * q_raw).sum(1))
-            above: dict = {}
+            # Labels of the nodes of the shard and, behind them, of queries from another shard.
+            at = t.block * QUERIES if t.from_shard == t.shard else len(ids)
+            names = ids if t.from_shard == t.shard else np.concatenate([ids, q_ids])
+            label, above = np.arange(len(names)), {}
 
             def root(x, above=above):
-                while above.get(x, x) != x:
-                    above[x] = above.get(above[x], above[x])
+                while x in above:
                     x = above[x]
                 return x
 
             for k, near in enumerate(found):
                 near = near[(raw[near] @ q_raw[k]) / (norm[near] * q_norm[k]) >= least]
                 near = near[ids[near] != q_ids[k]]
-                me = int(q_ids[k])
-                for other in ids[near].tolist():
-                    x, y = root(me), root(other)
-                    if x != y:
-                        above[max(x, y)] = min(x, y)
-                out.append((me, int(copies[near].sum()), None, None))
-            out += [(None, None, x, root(x)) for x in above if root(x) != x]
+                out.append((int(q_ids[k]), int(copies[near].sum()), None, None))
+                group = np.append(near, at + k)
+                tops = {root(x) for x in np.unique(label[group]).tolist()}
+                first = min(tops)
+                above.update({x: first for x in tops if x != first})
+                label[group] = first
+            for x, y in enumerate(label.tolist()):
+                if (top := root(y)) != x:
+                    out.append((None, None, int(names[x]), int(names[top])))
         return pd.DataFrame(out, columns=["rep", "n", "u", "v"]).astype("Int64")
 
     answers = written(tasks.groupBy("label", "dim", "shard", "from_shard", "block").applyInPandas(

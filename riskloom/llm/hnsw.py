@@ -24,6 +24,45 @@ class Hnsw:
             end = min(n, at + max(1, min(batch, at)))
             self._insert(at, end, ef_build)
             at = end
+        self._bridge()
+
+    def _bridge(self, slots: int = 16) -> None:
+        """Give every node a way in: pruning can cut the last link to it, or the last one into a tight group.
+
+        A node that none of its own neighbours links to gets a link from the nearest of them with a free slot. Then nodes that cannot
+        be reached on layer 0 are linked from the nearest reachable node with a free slot, round after round.
+        """
+        n, base = len(self.x), self.links[0]
+        extra, used = np.full((n, slots), NONE, np.int32), np.zeros(n, int)
+        known = np.zeros(n, bool)
+        for j in range(base.shape[1]):
+            known |= (base[:, j] >= 0) & (base[base[:, j]] == np.arange(n)[:, None]).any(1)
+        for node in np.flatnonzero(~known):
+            near = base[node][base[node] >= 0]
+            near = near[np.argsort(-(self.x[near] @ self.x[node]), kind="stable")]
+            if len(free := near[used[near] < slots]):
+                extra[free[0], used[free[0]]] = node
+                used[free[0]] += 1
+        while n:
+            seen, new = np.zeros(n, bool), np.array([self.entry])
+            seen[new] = True
+            while len(new):
+                ahead = np.unique(np.concatenate([self.links[0][new], extra[new]], 1))
+                new = ahead[(ahead >= 0)]
+                new = new[~seen[new]]
+                seen[new] = True
+            lost = np.flatnonzero(~seen)
+            if not len(lost):
+                break
+            for at in range(0, len(lost), 256):
+                part = lost[at:at + 256]
+                for node, near in zip(part, self.search(self.x[part], 64)[0]):
+                    free = near[(near >= 0) & seen[near] & (used[near] < slots)]
+                    host = free[0] if len(free) else np.flatnonzero(seen & (used < slots))[0]
+                    extra[host, used[host]] = node
+                    used[host] += 1
+        width = int(used.max(initial=0))
+        self.links[0] = np.concatenate([self.links[0], extra[:, :width]], 1)
 
     def _insert(self, at: int, end: int, ef: int) -> None:
         new = np.arange(at, end)
@@ -145,15 +184,16 @@ class Hnsw:
         return self.beam(q, near, ef, 0)
 
     def pack(self) -> bytes:
-        return np.concatenate([[self.entry, len(self.links)], *[a.ravel() for a in self.links]]).astype("<i4").tobytes()
+        widths = [a.shape[1] for a in self.links]
+        return np.concatenate([[self.entry, len(self.links)], widths, *[a.ravel() for a in self.links]]).astype("<i4").tobytes()
 
     @classmethod
     def unpack(cls, x: np.ndarray, packed: bytes, m: int = 16) -> Hnsw:
         self = cls.__new__(cls)
         raw = np.frombuffer(packed, "<i4")
         self.x, self.m, self.entry, n = np.ascontiguousarray(x, np.float32), m, int(raw[0]), len(x)
-        sizes = [2 * m * n] + [m * n] * (int(raw[1]) - 1)
-        ends = np.cumsum([2, *sizes])
+        layers = int(raw[1])
+        ends = np.cumsum([2 + layers, *(int(w) * n for w in raw[2:2 + layers])])
         self.links = [raw[s:e].reshape(n, -1) for s, e in zip(ends[:-1], ends[1:])]
         return self
 
@@ -161,29 +201,52 @@ class Hnsw:
 def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray, recall: float, slack: float = 0.03):
     """Per query, the nodes of similarity ``least`` and more (a little slack below it, for an exact check to follow).
 
-    The beam of a query is doubled while even its worst member is near the threshold. The queries ``audit`` are compared with all
-    nodes of the graph; while they miss more than ``1 - recall`` of what is there, all beams start wider.
+    Queries whose beam is full of nodes near the threshold widen it together: their beams become one, which takes in the neighbours
+    of every member that is near the threshold for one of them, until nothing is added. The queries ``audit`` are compared with all
+    nodes of the graph; while they miss more than ``1 - recall`` of what is there, all beams start twice as wide.
     Returns (list of id arrays, recall of the audit).
     """
     n = len(graph.x)
     truth = graph.x @ q[audit].T >= least
     while True:
         out: list = [None] * len(q)
-        todo, width = np.arange(len(q)), min(ef, n)
-        while len(todo):
-            again = []
-            step = max(1, min(256, (64 << 20) // max(1, n)))
-            for at in range(0, len(todo), step):
-                part = todo[at:at + step]
-                ids, sims = graph.search(q[part], width)
-                full = (sims[:, -1] >= least - slack) & (width < n)
+        width, full = min(ef, n), []
+        if 4 * ef >= n:  # the widest beam holds every node
+            return [np.flatnonzero(graph.x @ v >= least) for v in q], 1.0
+        step = max(1, min(256, (64 << 20) // max(1, n)))
+        for at in range(0, len(q), step):
+            ids, sims = graph.search(q[at:at + step], width)
+            for k in range(len(ids)):
+                out[at + k] = ids[k][sims[k] >= least]
+            if width < n:
+                full += [(at + k, ids[k]) for k in np.flatnonzero(sims[:, -1] >= least - slack)]
+        if full:
+            who = np.array([i for i, _ in full])
+            shared = _widened(graph, q[who], np.unique(np.concatenate([ids[ids >= 0] for _, ids in full])), least - slack)
+            for at in range(0, len(who), step):
+                part = who[at:at + step]
+                near = graph.x[shared] @ q[part].T >= least
                 for k, i in enumerate(part):
-                    if not full[k]:
-                        out[i] = ids[k][sims[k] >= least]
-                again.append(part[full])
-            todo, width = np.concatenate(again), min(2 * width, n)
+                    out[i] = shared[near[:, k]]
         hit = sum(int(truth[out[i], k].sum()) for k, i in enumerate(audit))
         got = hit / max(1, int(truth.sum()))
-        if got >= recall or ef >= n:
+        if got >= recall:
             return out, got
         ef *= 2
+
+
+def _widened(graph: Hnsw, q: np.ndarray, members: np.ndarray, least: float) -> np.ndarray:
+    """``members`` and all that is reached from them, along links or against them, over nodes of similarity ``least`` to a query."""
+    links = graph.links[0]
+    seen = np.zeros(len(graph.x), bool)
+    seen[members] = True
+    new = members
+    while len(new):
+        near = new[np.concatenate([(graph.x[new[at:at + 4096]] @ q.T >= least).any(1) for at in range(0, len(new), 4096)])]
+        pointed = np.zeros(len(seen) + 1, bool)  # the last place is that of missing links
+        pointed[near] = True
+        ahead = np.unique(np.concatenate([links[near].ravel(), np.flatnonzero(pointed[links].any(1))]))
+        new = ahead[ahead >= 0]
+        new = new[~seen[new]]
+        seen[new] = True
+    return np.flatnonzero(seen)
