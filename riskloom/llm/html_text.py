@@ -31,10 +31,16 @@ BLOCKS = set("p h1 h2 h3 h4 h5 h6 li ul ol dl dt dd div section article main hea
              "figure figcaption hr address details summary fieldset body hgroup center".split())
 CONTENT = ("article", "main")
 ROLES = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+# Whole class names or ids of what is no content. A compound is one only if all its parts are: cookie-banner, site-footer, comment-list, but
+# neither has-sidebar nor fixed-header, side-by-side, comments-open or related-work.
+SIDE_NAMES = (r"(?:ads?|advert\w*|adbox|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|"
+              r"masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|social|share|"
+              r"sharing|related|recommend\w*|trending|widget|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|toolbar|tags|skip)")
 SIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adbox|banner|promo\w*|sponsor\w*|sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|header|footer|"
-    r"masthead|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|social|share|"
-    r"sharing|related|recommend\w*|trending|widget|comments?|commentlist|disqus|respond|replies|reply|pagination|pager|toolbar|tags|skip)(?:$|[\s_-])", re.I)
+    rf"(?:(?:site|global|main|primary|secondary|top|bottom|left|right|mobile|desktop)[_-]+)*{SIDE_NAMES}(?:[_-]+{SIDE_NAMES})*"
+    r"(?:[_-]+(?:list|bar|box|area|block|slot|unit|panel|section|links?|buttons?|icons?|form|items?|posts|articles|left|right|top|bottom|\d+))*", re.I)
+# Inside marked content these name parts of the text.
+OF_TEXT = set("header masthead notice alert side tags".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 
@@ -63,50 +69,91 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                 yield "close", name, ""
 
 
-def _aside(name: str, attributes: str, inside: bool) -> bool:
-    if name in NEVER or (name == "header" and not inside):
-        return True
+def _aside(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element never holds content, by its name, role or style; and whether its class, id or being a form says so."""
+    if (name in NEVER and name != "form") or (name == "header" and not inside):
+        return True, False
+    by_class = name == "form"
     if not attributes or name in ("html", "body", *CONTENT):
-        return False
+        return False, by_class
     for m in ATTR.finditer(attributes):
         key, value = (m[5] or m[1]).lower(), m[2] or m[3] or m[4] or ""
-        if key in ("class", "id") and SIDE.search(value) or key == "role" and value.lower() in ROLES or key == "hidden" and not value \
+        if key == "role" and value.lower() in ROLES or key == "hidden" and not value \
                 or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I) or key == "itemtype" and "Comment" in value:
-            return True
-    return False
-
-
-def parse(page: str) -> list[tuple[str, str, bool, int]]:
-    """(kind, name or text, aside, number of the content element or -1) of every token, in page order.
-
-    ``aside`` marks what lies in an element that never holds content. Unclosed elements end with the element around them.
-    """
-    out, stack, content = [], [], 0
-    for kind, name, attributes in tokens(page):
+            return True, by_class
+        if key in ("class", "id") and (not inside or name in BLOCKS):
+            by_class = by_class or any(SIDE.fullmatch(x) and not (inside and x.lower() in OF_TEXT) for x in value.split())
+    return False, by_class
+
+
+def _walk(stream: list[tuple[str, str, str]], around: set[int] = frozenset()) -> tuple[list, list, dict[int, list[int]]]:
+    """Tokens as in ``parse``; (is main, lies in main, elements marked by class around it) of every content element; and first and end
+    token of every element marked by class. Elements go by their place in ``stream``; class rules do not hold for those in ``around``."""
+    # On the stack: name, never content, elements marked by class, number, lies in content, lies in main.
+    out, stack, count, holders, spans = [], [], 0, [], {}
+    bottom = ("", False, (), -1, False, False)
+
+    def end(keep: int) -> None:
+        for _, _, marks, *_ in stack[keep:]:
+            for x in marks[-1:]:
+                spans[x][1] = max(spans[x][1], len(out))
+        del stack[keep:]
+
+    for at, (kind, name, attributes) in enumerate(stream):
+        _, never, marks, number, inside, in_main = stack[-1] if stack else bottom
         if kind == "close":
             names = [s[0] for s in stack]
             if name in names:
                 keep = len(names) - 1 - names[::-1].index(name)
                 # A stray closing tag does not end a block around an element of content.
                 if name in BLOCKS or name in NEVER or name in CONTENT or not any(x in BLOCKS for x in names[keep + 1:]):
-                    aside, number = stack[keep][1], stack[keep][2]
-                    del stack[keep:]
-                    out.append((kind, name, aside, number))
+                    _, never, marks, number, *_ = stack[keep]
+                    end(keep)
+                    out.append((kind, name, never or bool(marks), number))
             continue
-        aside, number = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
         if kind == "text":
-            out.append((kind, name, aside, number))
+            out.append((kind, name, never or bool(marks), number))
             continue
         if name in BLOCKS and stack and stack[-1][0] == "p":
-            stack.pop()
-            aside, number = (stack[-1][1], stack[-1][2]) if stack else (False, -1)
-        aside = aside or _aside(name, attributes, number >= 0)
-        if name in CONTENT and number < 0 and not aside:
-            number, content = content, content + 1
-        out.append((kind, name, aside, number))
+            end(len(stack) - 1)
+            _, never, marks, number, inside, in_main = stack[-1] if stack else bottom
+        own, by_class = _aside(name, attributes, inside)
+        never = never or own
+        if by_class and at not in around:
+            marks = (*marks, at)
+            spans[at] = [len(out), len(out) + 1]
+        if name in CONTENT and not never:
+            holders.append((name == "main", in_main, marks))
+            inside, in_main = True, in_main or name == "main"
+            if number < 0 and not marks:
+                number, count = count, count + 1
+        out.append((kind, name, never or bool(marks), number))
         if name not in VOID and not attributes.endswith("/"):
-            stack.append((name, aside, number))
-    return out
+            stack.append((name, never, marks, number, inside, in_main))
+    end(0)
+    return out, holders, spans
+
+
+def parse(page: str, weights: dict[str, float] | None = None) -> list[tuple[str, str, bool, int]]:
+    """(kind, name or text, aside, number of the content element or -1) of every token, in page order.
+
+    ``aside`` marks what lies in an element that never holds content. Unclosed elements end with the element around them. No class rule
+    holds for an element around ``main`` or, where ``main`` or the page has no other, around ``article``. If the page marks no content and
+    ``weights`` are given, none holds for an element around the region that is best without class rules.
+    """
+    stream = list(tokens(page))
+    out, holders, spans = _walk(stream)
+    if not spans:
+        return out
+    around = {x for main, _, marks in holders if main for x in marks}
+    # Where some article lies outside (comments can be articles too), class rules hold for the others.
+    inner = [set(marks) - around for main, in_main, marks in holders if not main and (in_main or not any(h[0] for h in holders))]
+    least = min(map(len, inner), default=0)
+    around |= {x for marks in inner if len(marks) == least for x in marks}
+    if not holders and weights is not None:
+        low, high = best_region(_walk(stream, set(spans))[0], weights)
+        around = {x for x, (first, last) in spans.items() if low < high and first <= low and high <= last}
+    return _walk(stream, around)[0] if around else out
 
 
 def count_tokens(page: str) -> tuple[Counter, Counter]:
@@ -164,7 +211,7 @@ def best_region(seen: list[tuple[str, str, bool, int]], weights: dict[str, float
 
 
 def main_text(page: str | None, weights: dict[str, float]) -> str:
-    seen = parse(page or "")
+    seen = parse(page or "", weights)
     low, high = best_region(seen, weights)
     numbers = Counter()
     for kind, name, aside, number in seen[low:high]:

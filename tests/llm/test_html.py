@@ -39,6 +39,35 @@ def test_small_pages(weights, page, want):
     assert h.main_text(page, weights) == want
 
 
+TEXT = "The whole text of this page stays here."
+
+
+@pytest.mark.parametrize("of", ["layout has-sidebar", "no-sidebar", "content-with-sidebar", "fixed-header", "side-by-side", "single comments-open",
+                                "widget", "sidebar", "site-header"])
+@pytest.mark.parametrize("inner", ["<article><p>{}</p></article>", "<main><p>{}</p></main>", "<main><div class='widget'><article>{}</article></div></main>", "<p>{}</p>"])
+def test_wrappers(weights, of, inner):
+    page = f"<body><nav>a b c</nav><div class='{of}'><div id='{of.split()[-1]}'>{inner.format(TEXT)}</div></div><footer>d e f</footer></body>"
+    assert h.main_text(page, weights) == TEXT
+
+
+@pytest.mark.parametrize("part", ["<div class='post-header'><p>{}</p></div>", "<div class='entry-header'>{}</div>", "<section id='related-work'>{}</section>",
+                                  "<p><span class='search'>{}</span></p>", "<p><span class='notice'>{}</span></p>", "<p><a class='share'>{}</a></p>"])
+def test_parts_of_an_article(weights, part):
+    page = f"<body><article><h1>T</h1>{part.format('one two three')}<p>four</p><div class='share-buttons'>no</div></article></body>"
+    assert h.main_text(page, weights) == "T\n\none two three\n\nfour"
+
+
+@pytest.mark.parametrize("page", [
+    f"<form id='form1'><div class='nav'>a b c</div><article>{TEXT}</article></form>",
+    f"<article>{TEXT}</article><div id='comments' class='comments-area'><article class='comment'>no no no</article></div>",
+    f"<div class='widget'><article>{TEXT}</article><div class='comments'><article>no no no</article></div></div>",
+    f"<div class='sidebar'><article>no no no</article></div><main>{TEXT}</main>",
+    f"<div><p>{TEXT}</p></div><div class='cookie-banner'>no no no</div><div class='site-footer'>no no</div><span class='ad'>no</span>",
+])
+def test_class_rules_still_hold(weights, page):
+    assert h.main_text(page, weights) == TEXT
+
+
 def test_region_is_the_best_of_all():
     seen = h.parse("<p>a b</p><a></a><a></a><p>c d e</p><a></a><p>f g h i</p><a></a>")
     weights = {"#word": 1.0, "p": -0.3, "a": -1.2}
