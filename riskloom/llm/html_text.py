@@ -3,8 +3,8 @@
 A page is a sequence of word and tag tokens. Words score positive and tags negative; the weights come from labelled pages, that is pages
 whose ``article`` or ``main`` element says where the content is (a bounded sample, counted with Spark). Words inside elements that never hold
 content (menus, scripts, adverts, comments, ...) score as their opposite. One linear scan finds the contiguous region with the largest
-sum. If the page marks its content, the region is moved to the borders of the marked element it overlaps most. The text of the region is cut into
-blocks, without those elements.
+sum. If the page marks its content, the region is moved to the borders of all marked elements it overlaps, without what lies between them. The text of the
+region is cut into blocks, without those elements.
 """
 
 from __future__ import annotations
@@ -217,11 +217,8 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     for kind, name, aside, number in seen[low:high]:
         if kind == "text" and not aside and number >= 0:
             numbers[number] += len(name.split())
-    if numbers:
-        chosen = max(sorted(numbers), key=numbers.get)
-        inside = [t for t in seen if t[3] == chosen]
-    else:
-        inside = seen[low:high]
+    numbers = +numbers
+    inside = [t for t in seen if t[3] in numbers] if numbers else seen[low:high]
     blocks, now = [], []
     for kind, name, aside, _ in [*inside, ("open", "p", False, -1)]:
         if kind == "text":

@@ -68,6 +68,16 @@ def test_class_rules_still_hold(weights, page):
     assert h.main_text(page, weights) == TEXT
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article><p>one two three</p></article><nav>x</nav><article>four five six seven</article>", "one two three\n\nfour five six seven"),
+    ("<main>a b c d</main><p>between</p><article>e f g<p>h</article><article class='x'> </article>", "a b c d\n\ne f g\n\nh"),
+    ("<article>a b c d e f</article><aside><article>no no</article></aside><article><div class='share'>no</div>g h i j k l</article>",
+     "a b c d e f\n\ng h i j k l"),
+])
+def test_several_marked_elements(page, want):
+    assert h.main_text(page, {"#word": 1.0, "article": -0.1, "main": -0.1, "p": -0.1, "nav": -0.1, "aside": -0.1, "div": -0.1}) == want
+
+
 def test_region_is_the_best_of_all():
     seen = h.parse("<p>a b</p><a></a><a></a><p>c d e</p><a></a><p>f g h i</p><a></a>")
     weights = {"#word": 1.0, "p": -0.3, "a": -1.2}
