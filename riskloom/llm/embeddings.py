@@ -79,10 +79,11 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
             q_raw, q_unit = _unit(t.q_data, t.dim)
             ids, q_ids, copies = np.asarray(t.ids), np.asarray(t.q_ids), np.asarray(t.copies)
             audit = np.random.default_rng(seed).permutation(len(q_ids))[:AUDIT]
-            found, got = within(Hnsw.unpack(unit, t.graph), q_unit.astype(np.float32), least - 1e-4, ef, audit, recall)
+            at = t.block * QUERIES if t.from_shard == t.shard else len(ids)
+            own = at + np.arange(len(q_ids)) if t.from_shard == t.shard else None
+            found, got = within(Hnsw.unpack(unit, t.graph), q_unit.astype(np.float32), least - 1e-4, ef, audit, recall, own=own)
             norm, q_norm = np.sqrt((raw * raw).sum(1)), np.sqrt((q_raw * q_raw).sum(1))
             # Labels of the nodes of the shard and, behind them, of queries from another shard.
-            at = t.block * QUERIES if t.from_shard == t.shard else len(ids)
             names = ids if t.from_shard == t.shard else np.concatenate([ids, q_ids])
             label, above = np.arange(len(names)), {}
 

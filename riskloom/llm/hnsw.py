@@ -198,16 +198,23 @@ class Hnsw:
         return self
 
 
-def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray, recall: float, slack: float = 0.03):
+def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray, recall: float, slack: float = 0.03,
+           own: np.ndarray | None = None):
     """Per query, the nodes of similarity ``least`` and more (a little slack below it, for an exact check to follow).
 
     Queries whose beam is full of nodes near the threshold widen it together: their beams become one, which takes in the neighbours
     of every member that is near the threshold for one of them, until nothing is added. The queries ``audit`` are compared with all
-    nodes of the graph; while they miss more than ``1 - recall`` of what is there, all beams start twice as wide.
+    nodes of the graph but the query's own node ``own`` (-1: none). While the mean of their recall, over those with a true neighbour, is below
+    ``recall``, all beams start twice as wide. With fewer than 1 / (1 - recall) of them, none that misses all its neighbours passes, however
+    many links a large group has.
     Returns (list of id arrays, recall of the audit).
     """
     n = len(graph.x)
     truth = graph.x @ q[audit].T >= least
+    if own is not None:
+        held = np.flatnonzero(own[audit] >= 0)
+        truth[own[audit][held], held] = False
+    there = truth.sum(0)
     while True:
         out: list = [None] * len(q)
         width, full = min(ef, n), []
@@ -228,8 +235,8 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
                 near = graph.x[shared] @ q[part].T >= least
                 for k, i in enumerate(part):
                     out[i] = shared[near[:, k]]
-        hit = sum(int(truth[out[i], k].sum()) for k, i in enumerate(audit))
-        got = hit / max(1, int(truth.sum()))
+        each = [truth[out[i], k].sum() / there[k] for k, i in enumerate(audit) if there[k]]
+        got = float(np.mean(each)) if each else 0.0
         if got >= recall:
             return out, got
         ef *= 2

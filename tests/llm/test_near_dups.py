@@ -103,6 +103,38 @@ def test_graph_recall():
     assert all((a == b).all() for a, b in zip(graph.links, again.links))
 
 
+def near(draw, x, size):
+    """Unit vectors at a cosine of about 0.99 to ``x``."""
+    y = x + draw.normal(0, 0.12 / np.sqrt(x.shape[-1]), (size, x.shape[-1]))
+    return y / np.linalg.norm(y, axis=1, keepdims=True)
+
+
+def unique(draw, n, dim=32):
+    x = draw.normal(0, 1, (n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_a_hot_group_does_not_hide_lost_pairs():
+    draw = np.random.default_rng(6)
+    first = unique(draw, 1000)
+    x = np.concatenate([near(draw, unique(draw, 1), 3000), first, near(draw, first, 1000)]).astype(np.float32)
+    graph, search = Hnsw(x, np.arange(len(x))), Hnsw.search
+
+    def blind(q, ef):
+        """Narrow beams miss the partner in every pair."""
+        ids, sims = search(graph, q, ef)
+        partner = ef < 256 and (sims >= 0.97) & (ids >= 3000) & (sims < 0.9999)
+        return ids, np.where(partner, -2, sims)
+
+    graph.search = blind
+    at = draw.permutation(len(x))[:512]
+    found, recall = within(graph, x[at], 0.98, 64, np.arange(32), 0.99, own=at)
+    for i, got in zip(at, found):
+        want = set(np.flatnonzero(x @ x[i] >= 0.98))
+        assert len(want & set(got)) >= 0.99 * len(want) or len(want) == 2 and want == set(got)
+    assert recall >= 0.99
+
+
 @pytest.mark.parametrize("shard", [16384, 100])
 def test_embeddings_against_brute_force(spark, shard):
     rows = [(i, [float(c) for c in v], i % 2) for i, v in clustered(2)]
