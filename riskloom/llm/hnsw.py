@@ -199,17 +199,23 @@ class Hnsw:
 
 
 def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray, recall: float, slack: float = 0.03,
-           own: np.ndarray | None = None):
+           own: np.ndarray | None = None, probes: int = 32):
     """Per query, the nodes of similarity ``least`` and more (a little slack below it, for an exact check to follow).
 
     Queries whose beam is full of nodes near the threshold widen it together: their beams become one, which takes in the neighbours
     of every member that is near the threshold for one of them, until nothing is added. The queries ``audit`` are compared with all
     nodes of the graph but the query's own node ``own`` (-1: none). While the mean of their recall, over those with a true neighbour, is below
     ``recall``, all beams start twice as wide. With fewer than 1 / (1 - recall) of them, none that misses all its neighbours passes, however
-    many links a large group has.
+    many links a large group has. So that the audit has something to find also where queries have no neighbour here, ``probes`` vectors made
+    from nodes of the graph, halfway to the threshold from them, are asked and audited too. An audit without a true neighbour shows nothing and
+    widens nothing.
     Returns (list of id arrays, recall of the audit).
     """
-    n = len(graph.x)
+    n, asked = len(graph.x), len(q)
+    if 4 * ef < n:
+        made = _probes(graph.x, least, probes)
+        q, audit = np.concatenate([q, made]), np.append(audit, asked + np.arange(len(made)))
+        own = None if own is None else np.append(own, np.full(len(made), NONE))
     truth = graph.x @ q[audit].T >= least
     if own is not None:
         held = np.flatnonzero(own[audit] >= 0)
@@ -219,7 +225,7 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
         out: list = [None] * len(q)
         width, full = min(ef, n), []
         if 4 * ef >= n:  # the widest beam holds every node
-            return [np.flatnonzero(graph.x @ v >= least) for v in q], 1.0
+            return [np.flatnonzero(graph.x @ v >= least) for v in q[:asked]], 1.0
         step = max(1, min(256, (64 << 20) // max(1, n)))
         for at in range(0, len(q), step):
             ids, sims = graph.search(q[at:at + step], width)
@@ -236,12 +242,24 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
                 for k, i in enumerate(part):
                     out[i] = shared[near[:, k]]
         each = [truth[out[i], k].sum() / there[k] for k, i in enumerate(audit) if there[k]]
-        got = float(np.mean(each)) if each else 0.0
+        got = float(np.mean(each)) if each else 1.0
         if got >= recall:
-            return out, got
+            return out[:asked], got
         ef *= 2
 
 
+def _probes(x: np.ndarray, least: float, count: int) -> np.ndarray:
+    """Unit vectors near up to ``count`` rows of ``x``, each at the cosine halfway between ``least`` and 1."""
+    draw = np.random.default_rng(len(x))
+    base = x[draw.permutation(len(x))[:count]].astype(np.float64)
+    off = draw.normal(0, 1, base.shape)
+    off -= (off * base).sum(1, keepdims=True) * base
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-9)
+    c = (1 + least) / 2
+    out = c * base + np.sqrt(1 - c * c) * off
+    return (out / np.linalg.norm(out, axis=1, keepdims=True)).astype(np.float32)
+
+
 def _widened(graph: Hnsw, q: np.ndarray, members: np.ndarray, least: float) -> np.ndarray:
     """``members`` and all that is reached from them, along links or against them, over nodes of similarity ``least`` to a query."""
     links = graph.links[0]

@@ -135,6 +135,24 @@ def test_a_hot_group_does_not_hide_lost_pairs():
     assert recall >= 0.99
 
 
+@pytest.mark.parametrize("bad", [False, True])
+def test_queries_without_neighbours(bad):
+    """They are no reason to widen; a graph that misses what is near its own nodes is, whoever asks."""
+    draw = np.random.default_rng(7)
+    x, q = (np.concatenate([near(draw, centre, 1) for centre in np.repeat(unique(draw, n), 4, 0)[:, None]]).astype(np.float32) for n in (1000, 100))
+    graph, search, widths = Hnsw(x, np.arange(len(x))), Hnsw.search, []
+
+    def watched(v, ef):
+        widths.append(ef)
+        ids, sims = search(graph, v, ef)
+        return ids, np.where(bad and ef < 256, -2, sims)
+
+    graph.search = watched
+    found, recall = within(graph, q, 0.98, 64, np.arange(32), 0.99)
+    assert len(found) == len(q) and not any(map(len, found)) and recall >= 0.99 and max(widths) == (256 if bad else 64)
+    assert len(within(graph, q[:0], 0.98, 64, np.arange(0), 0.99)[0]) == 0
+
+
 @pytest.mark.parametrize("shard", [16384, 100])
 def test_embeddings_against_brute_force(spark, shard):
     rows = [(i, [float(c) for c in v], i % 2) for i, v in clustered(2)]
