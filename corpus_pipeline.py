@@ -22,15 +22,29 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return toxicity.score(docs.select(*COLUMNS), model).where("NOT toxic").select(*COLUMNS)
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``key``: one number for each id and text, in the order of the ids and, within one, of the hashes of the texts."""
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    keys = docs.select("doc_id", "t").distinct().orderBy("doc_id", "t").withColumn("key", F.monotonically_increasing_id())
+    return written(docs.join(written(keys, "keys"), ["doc_id", "t"]).drop("t"), "keyed")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group (five-word shingles, similarity 0.8) stays.
 
-    Repeated rows of one id and text are one document and stay once. A row with a null id is in no group and stays.
+    Repeated rows of one id and text are one document and stay once, with the smallest language, source and length. Rows of one id with
+    different texts are documents of their own; in one group, the one with the smaller hash stays. A row with a null id is in no group and stays.
     """
     docs = docs.select(*COLUMNS)
-    unique = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    gone = minhash.near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
-    return unique.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    rows, key = docs.where("doc_id IS NOT NULL"), "doc_id"
+    texts = rows.select("doc_id", F.xxhash64("text").alias("t")).groupBy("doc_id").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    # An id with several texts does not tell its documents apart; numbering all costs a written copy of the rows.
+    if not texts.where("low <> high").isEmpty():
+        rows, key = numbered(rows), "key"
+    unique = rows.groupBy(F.col(key).alias("key")).agg(F.min(F.struct("doc_id", "lang", "source", "n_chars")).alias("s"), F.first("text").alias("text"))
+    gone = minhash.near_duplicates(rows, key).where("NOT kept").select(F.col("doc_id").alias("key")).distinct()
+    left = unique.join(gone, "key", "left_anti").select("s.*", "text").select(*COLUMNS)
+    return left.unionByName(docs.where("doc_id IS NULL"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +60,11 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once, or repeated up to three times."""
-    docs = docs.select(*COLUMNS)
-    sizes = written(docs.select("doc_id", "source", F.xxhash64("text").alias("t"), F.size(words_of(F.col("text"))).cast("bigint").alias("size")),
-                    "mix-sizes")
-    times = mixing.mix(sizes).select("doc_id", "source", "t", "times").groupBy("doc_id", "source", "t").agg(F.min("times").alias("times"))
-    same = [F.col(f"d.{c}").eqNullSafe(F.col(f"m.{c}")) for c in ("doc_id", "source", "t")]
-    rows = docs.withColumn("t", F.xxhash64("text")).alias("d").join(times.where("times > 0").alias("m"), same)
-    return rows.select(*[F.col(f"d.{c}") for c in COLUMNS], F.explode(F.sequence(F.lit(1), F.col("m.times").cast("int"))).alias("copy")).select(*COLUMNS)
+    # Equal rows are documents of their own, so rows go by a stored number.
+    docs = written(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+    sizes = written(docs.select("row", "doc_id", "source", F.size(words_of(F.col("text"))).cast("bigint").alias("size")), "mix-sizes")
+    rows = docs.join(mixing.mix(sizes).where("times > 0").select("row", "times"), "row")
+    return rows.select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,6 +67,27 @@ def test_last_stage_has_a_row_for_each_row(results):
     assert Counter(r.doc_id for r in results[5].collect()) == Counter(r.doc_id for r in results[4].collect())
 
 
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_one_id_with_several_texts(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(3, a, "en", "s", 1), (7, a + " more", "en", "s", 1), (7, b, "en", "s", 1), (7, b, "de", "s", 1), (8, b + " more", "en", "s", 1),
+            (9, c, "en", "s", 1), (9, c + " more", "en", "s", 1), (9, "", "en", "s", 1), (None, a, "en", "s", 1)]
+    got = sorted(map(tuple, cp.drop_near_duplicates(spark, spark.createDataFrame(rows, SCHEMA).repartition(3), FOLDER).collect()), key=str)
+    last = [r for r in got if r[0] == 9 and r[1]]
+    assert len(last) == 1 and last[0][1] in (c, c + " more")
+    assert [r for r in got if r not in last] == sorted([rows[0], rows[3], rows[7], rows[8]], key=str)
+
+
+def test_equal_rows_are_mixed_one_by_one(spark):
+    text = " ".join(["w"] * 10)
+    rows = [(1, text, "en", "a", 19)] * 300 + [(None, text, "en", "b", 19)] * 300 + [(i, text, "en", "c", 19) for i in range(300)]
+    taken = Counter(r.source for r in cp.mix_sources(spark, spark.createDataFrame(rows, SCHEMA), FOLDER).collect())
+    target = fill({s: 3000 for s in "abc"})
+    assert all(abs(10 * taken[s] - target[s]) <= 10 for s in "abc")
+
+
 def test_awkward_rows(spark, awkward, empty):
     for rows in (awkward, empty):
         for _, stage in cp.STAGES:
