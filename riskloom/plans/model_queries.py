@@ -88,6 +88,14 @@ def fixed_buckets(t):
     return encode.bucketize("cents", AMOUNT_EDGES, "bucket").transform(rows).select("txn_id", "bucket")
 
 
+@query("SELECT txn_id, CAST(least(hour(ts), 11) AS DOUBLE) AS bucket FROM txn")
+def hour_buckets(t):
+    from riskloom.schema import HOUR_EDGES
+
+    rows = t.txn.select("txn_id", F.hour("ts").cast("double").alias("hour"))
+    return encode.bucketize("hour", HOUR_EDGES, "bucket").transform(rows).select("txn_id", "bucket")
+
+
 # Edges come from a sketch: every bucket holds its 15th within the rank error on both sides, ties at an edge apart.
 @query("SELECT count(*) AS rows, 15 AS buckets, true AS balanced, true AS ordered FROM txn")
 def quantile_buckets(t):

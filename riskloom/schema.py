@@ -53,6 +53,8 @@ MCC_GROUPS = {
 }
 ACTIVITY_EDGES = [0, 5, 10, 20, 30, 40, 50, 100, 200, 500]
 AMOUNT_EDGES = [0, 10, 100, 1000, 10000, 100000, 1000000, 10000000, 100000000, float("inf")]
+# Hours of the day: one each up to eleven, the rest of the day together.
+HOUR_EDGES = [*range(12), 24]
 # --- end of fixed values ----------------------------------------------------------------------
 
 
