@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import embeddings, html_text, minhash, mixing, pieces, quality, secret_scan, sharding, token_files, toxicity
+from riskloom.llm import (alignment, collocations, embeddings, html_text, minhash, mixing, pieces, quality, secret_scan, sharding, token_files,
+                          toxicity, warc)
 from riskloom.llm.common import shared_path, table, words_of, written
 from riskloom.llm.twins import TWINS
 
@@ -94,8 +95,25 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
                        failed.alias("base_failed"), (F.col("kept") & ~failed).alias("kept"))
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 strongest phrases of each language of all documents."""
+    return collocations.top_phrases(table(spark, folder, "documents"), least=30, top=2000)
+
+
+def op12_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page written to WARC archives and its record read back from them."""
+    path = shared_path(spark, "warc")
+    warc.write(table(spark, folder, "pages"), path)
+    return warc.read(spark, path, contents=False).select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+
+
+def op13_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of every document under two tokenizers, aligned over its bytes."""
+    return alignment.align(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_sharding, op2_secret_scans, op3_minhash, op4_embeddings, op5_sentencepiece, op6_mixing, op7_token_files, op8_toxicity,
-        op9_html_extraction, op10_quality_rules)}
+        op9_html_extraction, op10_quality_rules, op11_collocations, op12_warc, op13_alignment)}
 ORACLES = {k: v for k, v in TWINS.items() if k in QUERIES}

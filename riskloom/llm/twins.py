@@ -128,4 +128,28 @@ SELECT doc_id, n_words, coalesce(word_chars, 0) AS word_chars, n_symbols, n_dup_
   NOT base_failed AND word_chars >= 2 * n_words AND word_chars <= 12 * n_words AND 10 * n_symbols <= n_words
   AND 2 * n_upper <= word_chars AND 2 * n_marks <= n_words AND 2 * n_dup_lines <= n_lines AND 50 * n_stop >= n_words AS kept FROM f"""
 
-TWINS = {"op1_sharding": OP1, "op2_secret_scans": OP2, "op3_minhash": OP3, "op4_embeddings": OP4, "op6_mixing": OP6, "op10_quality_rules": OP10}
+OP11 = """WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS p FROM documents),
+words AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (SELECT lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: array_to_string(w[i:i + m - 1], ' '))) AS g
+  FROM words, (SELECT unnest(range(1, 5)) AS m) WHERE len(w) >= m),
+f AS (SELECT lang, g, any_value(m) AS m, count(*) AS n FROM grams GROUP BY lang, g),
+tot AS (SELECT lang, sum(n)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, g, m, n AS a, string_split(g, ' ') AS w FROM f WHERE m > 1 AND n >= 30),
+cuts AS (SELECT c.lang, c.g, c.a, c.k, x.n AS l, y.n AS r, (2000000::HUGEINT * c.a) // (x.n + y.n) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM cand) c
+  JOIN f x ON x.lang = c.lang AND x.g = array_to_string(c.w[1:k], ' ') JOIN f y ON y.lang = c.lang AND y.g = array_to_string(c.w[k + 1:], ' ')),
+scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inner_parts AS (SELECT lang, array_to_string(w[i:i + s - 1], ' ') AS g, max(a) AS around
+  FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM cand WHERE m > 2)) GROUP BY 1, 2),
+kept AS (SELECT s.* FROM scored s LEFT JOIN inner_parts i ON i.lang = s.lang AND i.g = s.g WHERE i.around IS NULL OR 100 * i.around < 80 * s.a)
+SELECT k.lang, row_number() OVER (PARTITION BY k.lang ORDER BY score DESC, a DESC, encode(g)) AS rank, g AS phrase, a, l, r, t.n, score::BIGINT AS score
+FROM kept k JOIN tot t ON t.lang = k.lang QUALIFY rank <= 2000"""
+
+OP12 = """WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS d FROM pages),
+top AS (SELECT d, max(page_id) AS t FROM p WHERE b >= 1000 GROUP BY d)
+SELECT page_id, b AS payload_bytes, p.d AS payload_digest, CASE WHEN t <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN t <> page_id THEN t END AS refers_to FROM p LEFT JOIN top ON top.d = p.d AND p.b >= 1000"""
+
+TWINS = {"op1_sharding": OP1, "op2_secret_scans": OP2, "op3_minhash": OP3, "op4_embeddings": OP4, "op6_mixing": OP6, "op10_quality_rules": OP10,
+         "op11_collocations": OP11, "op12_warc": OP12}
