@@ -37,7 +37,7 @@ def record_id(page_id: str | None, url: str | None, digest: str, copy: int) -> s
 
 
 def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least: int = LEAST) -> DataFrame:
-    """One row per record: (page_id, url, payload, payload_bytes, payload_digest, copies, record_type, refers_to, refers_url).
+    """One row per page: (page_id, url, payload, payload_bytes, payload_digest, copies, shared, first, refers_to, refers_url).
 
     Of the records with equal payloads of at least ``least`` bytes, one with the largest page id (a null id is the smallest, then the
     largest url) is the response, all others revisit it. Rows that agree in id, url and payload are ``copies`` of one row; only one copy can be the
@@ -45,21 +45,21 @@ def plan(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str
     """
     payload = F.encode(F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(f"`{page_id}`").cast("bigint").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
-    keyed = rows.select("page_id", "url", F.sha1("payload").alias("payload_digest"), F.octet_length("payload").cast("bigint").alias("payload_bytes"))
-    large = keyed.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(
+    # The digest has a fixed length and an id no letters, so the name tells id, url and digest apart, nulls included.
+    rows = rows.withColumn("payload_digest", F.sha1("payload")).withColumn("name", F.concat(
+        "payload_digest", F.coalesce(F.col("page_id").cast("string"), F.lit("n")), F.coalesce(F.concat(F.lit("u"), "url"), F.lit("n"))))
+    keyed = rows.select("page_id", "url", "name", "payload_digest", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    large = keyed.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct(F.col("page_id").isNotNull(), "page_id", F.col("url").isNotNull(), "url")).alias("top"))
-    # Payloads that occur once need no look-up; the digests of the others are joined to small rows, and those to the payloads by page.
+    # Payloads that occur once need no look-up; the digests of the others are joined to small rows, and those to the payloads by name.
     again = large.where("n > 1").select("payload_digest", F.col("top.page_id").alias("refers_to"), F.col("top.url").alias("refers_url"))
-    named = keyed.select("page_id", "url", "payload_digest").distinct().join(again, "payload_digest")
-    named = named.select(*(F.col(c).alias(f"r_{c}") for c in ("page_id", "url", "payload_digest")), "refers_to", "refers_url", F.lit(True).alias("shared"))
-    whole = rows.withColumn("payload_digest", F.sha1("payload")).groupBy("page_id", "url", "payload_digest").agg(
-        F.first("payload").alias("payload"), F.count(F.lit(1)).alias("copies"))
-    met = whole.join(named, F.col("page_id").eqNullSafe(F.col("r_page_id")) & F.col("url").eqNullSafe(F.col("r_url"))
-                     & (F.col("payload_digest") == F.col("r_payload_digest")), "left")
+    named = keyed.select("name", "payload_digest").distinct().join(again, "payload_digest").drop("payload_digest")
+    whole = rows.groupBy("name").agg(*[F.first(c).alias(c) for c in ("page_id", "url", "payload", "payload_digest")], F.count(F.lit(1)).alias("copies"))
+    met = whole.join(named.withColumn("again", F.lit(True)), "name", "left")
+    shared = F.coalesce("again", F.lit(False))
     own = F.col("page_id").eqNullSafe(F.col("refers_to")) & F.col("url").eqNullSafe(F.col("refers_url"))
     return met.select("page_id", "url", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"), "payload_digest", "copies",
-                      F.coalesce("shared", F.lit(False)).alias("shared"), (F.coalesce("shared", F.lit(False)) & own).alias("first"),
-                      "refers_to", "refers_url")
+                      shared.alias("shared"), (shared & own).alias("first"), "refers_to", "refers_url")
 
 
 def chunked(records: DataFrame, size: int = CHUNK) -> DataFrame:
