@@ -28,12 +28,22 @@ def _unit(packed: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98,
-                 shard: int = SHARD, recall: float = 0.99, ef: int = 64, seed: int = 3) -> DataFrame:
+                 shard: int = SHARD, recall: float = 0.99, ef: int = 64, seed: int = 3, scan_small: bool = True) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row.
 
     A vector links with nothing if it or its label is null, it is empty, all zero, or holds a null or non-finite component, or no other vector
-    of its label has its length. Repeated rows count as vectors of their own. Other columns are not read. An empty table gives an empty
-    result.
+    of its label has its length. Repeated rows count as vectors of their own, also where one id has several vectors or labels. Other columns
+    are not read. An empty table gives an empty result.
+    """
+    return search(rows, vec_id, vector, label, least, shard, recall, ef, seed, scan_small)[0]
+
+
+def search(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.98, shard: int = SHARD,
+           recall: float = 0.99, ef: int = 64, seed: int = 3, scan_small: bool = True) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``near_vectors``, and one row per searched block: (label, shard, from_shard, block, queries, ef, recall, scanned).
+
+    ``recall`` there is that of the block's audit, ``ef`` the beam width it ended with, ``scanned`` whether the block was compared with the whole
+    shard instead. Without ``scan_small`` shards of any size are searched through their graph first.
     """
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,43 +58,39 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
                        F.col(f"`{vector}`").alias("vector"))
     packed = written(read.mapInPandas(pack, "id bigint, label string, vector binary"), "vectors")
     valid = packed.where("label is not null and vector is not null and id is not null")
-    classes = valid.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumn(
-        "dim", (F.octet_length("vector") / 8).cast("int"))
+    # A class is a label and a vector; its number is the node, as one id may have several vectors and labels.
+    classes = valid.groupBy("label", "vector").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")).withColumns(
+        {"dim": (F.octet_length("vector") / 8).cast("int"), "node": F.monotonically_increasing_id()})
     classes = written(classes, "vector-classes")
     many = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = classes.join(many, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
+    dealt = classes.join(many, ["label", "dim"]).withColumn("shard", F.pmod(F.xxhash64("node"), "shards").cast("int"))
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("rep", kind="stable")
+        group = group.sort_values(["rep", "node"], kind="stable")
         group = group.iloc[np.random.default_rng(seed).permutation(len(group))]
         data = b"".join(group["vector"])
-        graph = Hnsw(_unit(data, int(group["dim"].iloc[0]))[1], group["rep"].values)
+        graph = Hnsw(_unit(data, int(group["dim"].iloc[0]))[1], group["node"].values)
         return pd.DataFrame({"label": group["label"].iloc[:1].values, "dim": group["dim"].iloc[:1].values, "shard": group["shard"].iloc[:1].values,
-                             "ids": [group["rep"].values], "copies": [group["copies"].values], "data": [data], "graph": [graph.pack()]})
+                             "ids": [group["node"].values], "copies": [group["copies"].values], "data": [data], "graph": [graph.pack()]})
 
     fields = "label string, dim int, shard int, ids array<bigint>, copies array<bigint>, data binary, graph binary"
-    graphs = written(dealt.groupBy("label", "dim", "shard").applyInPandas(build, fields), "graphs")
-    # Query blocks are slices of the same rows, by position.
-    blocks = graphs.select("label", "dim", F.col("shard").alias("from_shard"), "ids", "data", F.explode(
-        F.sequence(F.lit(0), F.ceil(F.size("ids") / QUERIES).cast("int") - 1)).alias("block"))
-    first = F.col("block") * QUERIES + 1
-    blocks = blocks.select("label", "dim", "from_shard", "block", F.slice("ids", first, F.lit(QUERIES)).alias("q_ids"), F.substring(
-        "data", F.col("block") * QUERIES * F.col("dim") * 8 + 1, F.lit(QUERIES) * F.col("dim") * 8).alias("q_data"))
-    tasks = graphs.join(blocks, ["label", "dim"])
+    # Explicit partition numbers: these rows are few and their work is large, so partitions must not be merged by their size.
+    number = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    graphs = written(dealt.repartition(number, "label", "dim", "shard").groupBy("label", "dim", "shard").applyInPandas(build, fields), "graphs")
+    # The vectors of a shard query every graph of their label, so a graph travels once for each shard of queries, not for each block.
+    queries = graphs.select("label", "dim", F.col("shard").alias("from_shard"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    tasks = graphs.join(queries, ["label", "dim"]).repartition(number, "label", "dim", "shard", "from_shard")
 
     def query(task: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out, audits = [], []
         for t in task.itertuples():
             raw, unit = _unit(t.data, t.dim)
             q_raw, q_unit = _unit(t.q_data, t.dim)
             ids, q_ids, copies = np.asarray(t.ids), np.asarray(t.q_ids), np.asarray(t.copies)
-            audit = np.random.default_rng(seed).permutation(len(q_ids))[:AUDIT]
-            at = t.block * QUERIES if t.from_shard == t.shard else len(ids)
-            own = at + np.arange(len(q_ids)) if t.from_shard == t.shard else None
-            found, got = within(Hnsw.unpack(unit, t.graph), q_unit.astype(np.float32), least - 1e-4, ef, audit, recall, own=own)
+            graph, same = Hnsw.unpack(unit, t.graph), t.from_shard == t.shard
             norm, q_norm = np.sqrt((raw * raw).sum(1)), np.sqrt((q_raw * q_raw).sum(1))
             # Labels of the nodes of the shard and, behind them, of queries from another shard.
-            names = ids if t.from_shard == t.shard else np.concatenate([ids, q_ids])
+            names = ids if same else np.concatenate([ids, q_ids])
             label, above = np.arange(len(names)), {}
 
             def root(x, above=above):
@@ -92,29 +98,41 @@ def near_vectors(rows: DataFrame, vec_id: str = "vec_id", vector: str = "embeddi
                     x = above[x]
                 return x
 
-            for k, near in enumerate(found):
-                near = near[(raw[near] @ q_raw[k]) / (norm[near] * q_norm[k]) >= least]
-                near = near[ids[near] != q_ids[k]]
-                out.append((int(q_ids[k]), int(copies[near].sum()), None, None))
-                group = np.append(near, at + k)
-                tops = {root(x) for x in np.unique(label[group]).tolist()}
-                first = min(tops)
-                above.update({x: first for x in tops if x != first})
-                label[group] = first
+            for at in range(0, len(q_ids), QUERIES):
+                block = q_unit[at:at + QUERIES]
+                audit = np.random.default_rng(seed).permutation(len(block))[:AUDIT]
+                own = at + np.arange(len(block)) if same else None
+                found, got, wide, scanned = within(graph, block.astype(np.float32), least - 1e-4, ef, audit, recall, own=own, scan_small=scan_small)
+                audits.append((t.label, t.shard, t.from_shard, at // QUERIES, len(block), wide, got, scanned))
+                for k, near in enumerate(found, at):
+                    near = near[(raw[near] @ q_raw[k]) / (norm[near] * q_norm[k]) >= least]
+                    near = near[ids[near] != q_ids[k]]
+                    out.append((int(q_ids[k]), int(copies[near].sum()), None, None))
+                    group = np.append(near, (0 if same else len(ids)) + k)
+                    tops = {root(x) for x in np.unique(label[group]).tolist()}
+                    first = min(tops)
+                    above.update({x: first for x in tops if x != first})
+                    label[group] = first
             for x, y in enumerate(label.tolist()):
                 if (top := root(y)) != x:
                     out.append((None, None, int(names[x]), int(names[top])))
-        return pd.DataFrame(out, columns=["rep", "n", "u", "v"]).astype("Int64")
-
-    answers = written(tasks.groupBy("label", "dim", "shard", "from_shard", "block").applyInPandas(
-        query, "rep bigint, n bigint, u bigint, v bigint"), "vector-links")
-    linked = answers.where("rep is not null").groupBy("rep").agg(F.sum("n").alias("n"))
+        links = pd.DataFrame(out, columns=["node", "n", "u", "v"]).astype("Int64")
+        names = ["label", "shard", "from_shard", "block", "queries", "ef", "recall", "scanned"]
+        return pd.concat([links, pd.DataFrame(audits, columns=names)]).astype({c: "Int64" for c in names[1:6]})
+
+    schema = ("node bigint, n bigint, u bigint, v bigint, label string, shard int, from_shard int, block int, queries int, ef int, recall double, "
+              "scanned boolean")
+    answers = written(tasks.groupBy("label", "dim", "shard", "from_shard").applyInPandas(query, schema), "vector-links")
+    linked = answers.where("node is not null").groupBy("node").agg(F.sum("n").alias("n"))
     top = components(answers.where("u is not null").select("u", "v"))
-    per_class = classes.join(linked, "rep", "left").join(top.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.col("label").alias("c_label"), F.col("vector").alias("c_vector"),
-        (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
+    joined = classes.join(top, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = joined.groupBy("component").agg(F.min("rep").alias("smallest"))
+    per_class = joined.join(smallest, "component").join(linked, "node", "left").select(
+        F.col("label").alias("c_label"), F.col("vector").alias("c_vector"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "smallest")
     met = packed.join(per_class, (F.col("label") == F.col("c_label")) & (F.col("vector") == F.col("c_vector"))
                       & F.col("id").isNotNull(), "left")
-    component = F.coalesce("component", "id")
-    return met.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
-                      component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    component = F.coalesce("smallest", "id")
+    result = met.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+                        component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    audits = answers.where("queries is not null").select("label", "shard", "from_shard", "block", "queries", "ef", "recall", "scanned")
+    return result, audits

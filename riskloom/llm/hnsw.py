@@ -199,7 +199,7 @@ class Hnsw:
 
 
 def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray, recall: float, slack: float = 0.03,
-           own: np.ndarray | None = None, probes: int = 32):
+           own: np.ndarray | None = None, probes: int = 32, scan_small: bool = True):
     """Per query, the nodes of similarity ``least`` and more (a little slack below it, for an exact check to follow).
 
     Queries whose beam is full of nodes near the threshold widen it together: their beams become one, which takes in the neighbours
@@ -208,8 +208,8 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
     ``recall``, all beams start twice as wide. With fewer than 1 / (1 - recall) of them, none that misses all its neighbours passes, however
     many links a large group has. So that the audit has something to find also where queries have no neighbour here, ``probes`` vectors made
     from nodes of the graph, halfway to the threshold from them, are asked and audited too. An audit without a true neighbour shows nothing and
-    widens nothing.
-    Returns (list of id arrays, recall of the audit).
+    widens nothing. A graph that a quarter of the beam covers is compared whole; without ``scan_small`` only after a failed audit.
+    Returns (list of id arrays, recall of the audit, beam width, whether the graph was compared whole).
     """
     n, asked = len(graph.x), len(q)
     if 4 * ef < n:
@@ -220,12 +220,12 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
     if own is not None:
         held = np.flatnonzero(own[audit] >= 0)
         truth[own[audit][held], held] = False
-    there = truth.sum(0)
+    there, start = truth.sum(0), ef
     while True:
         out: list = [None] * len(q)
         width, full = min(ef, n), []
-        if 4 * ef >= n:  # the widest beam holds every node
-            return [np.flatnonzero(graph.x @ v >= least) for v in q[:asked]], 1.0
+        if 4 * ef >= n and (scan_small or ef > start):  # the widest beam holds every node
+            return [np.flatnonzero(graph.x @ v >= least) for v in q[:asked]], 1.0, ef, True
         step = max(1, min(256, (64 << 20) // max(1, n)))
         for at in range(0, len(q), step):
             ids, sims = graph.search(q[at:at + step], width)
@@ -244,7 +244,7 @@ def within(graph: Hnsw, q: np.ndarray, least: float, ef: int, audit: np.ndarray,
         each = [truth[out[i], k].sum() / there[k] for k, i in enumerate(audit) if there[k]]
         got = float(np.mean(each)) if each else 1.0
         if got >= recall:
-            return out[:asked], got
+            return out[:asked], got, ef, False
         ef *= 2
 
 

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from riskloom.llm import minhash
+from riskloom.llm import embeddings, minhash
 from riskloom.llm.components import components
 from riskloom.llm.embeddings import near_vectors
 from riskloom.llm.hnsw import Hnsw, within
@@ -96,7 +96,7 @@ def test_graph_recall():
     x = np.stack([v for _, v in clustered(4, 1500)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     graph = Hnsw(x, np.arange(len(x)))
-    found, recall = within(graph, x.astype(np.float32), 0.98, 16, np.arange(32), 0.99)
+    found, recall = within(graph, x.astype(np.float32), 0.98, 16, np.arange(32), 0.99)[:2]
     truth = x @ x.T >= 0.98
     assert recall >= 0.99 and sum(truth[i, f].sum() for i, f in enumerate(found)) >= 0.99 * truth.sum()
     again = Hnsw.unpack(x, graph.pack())
@@ -128,7 +128,7 @@ def test_a_hot_group_does_not_hide_lost_pairs():
 
     graph.search = blind
     at = draw.permutation(len(x))[:512]
-    found, recall = within(graph, x[at], 0.98, 64, np.arange(32), 0.99, own=at)
+    found, recall = within(graph, x[at], 0.98, 64, np.arange(32), 0.99, own=at)[:2]
     for i, got in zip(at, found):
         want = set(np.flatnonzero(x @ x[i] >= 0.98))
         assert len(want & set(got)) >= 0.99 * len(want) or len(want) == 2 and want == set(got)
@@ -148,7 +148,7 @@ def test_queries_without_neighbours(bad):
         return ids, np.where(bad and ef < 256, -2, sims)
 
     graph.search = watched
-    found, recall = within(graph, q, 0.98, 64, np.arange(32), 0.99)
+    found, recall = within(graph, q, 0.98, 64, np.arange(32), 0.99)[:2]
     assert len(found) == len(q) and not any(map(len, found)) and recall >= 0.99 and max(widths) == (256 if bad else 64)
     assert len(within(graph, q[:0], 0.98, 64, np.arange(0), 0.99)[0]) == 0
 
@@ -171,3 +171,48 @@ def test_embeddings_against_brute_force(spark, shard):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors(df, shard=shard).collect()}
     assert got == {i: (degree[i], tops[i], tops[i] == i) for i in tops}
     assert near_vectors(df.where("false")).collect() == []
+
+
+def exact_links(rows, least):
+    """(n_links, component) of each row by brute force; rows are (id, vector, label)."""
+    n = len(rows)
+    x = np.array([r[1] for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    top = list(range(n))
+    links = [0] * n
+
+    def root(i):
+        while top[i] != i:
+            i = top[i]
+        return i
+
+    for i in range(n):
+        near = np.flatnonzero(x @ x[i] >= least)
+        for j in near.tolist():
+            if j != i and rows[i][2] == rows[j][2]:
+                links[i] += 1
+                top[max(root(i), root(j))] = min(root(i), root(j))
+    least_id = {}
+    for i in range(n):
+        least_id[root(i)] = min(least_id.get(root(i), rows[i][0]), rows[i][0])
+    return sorted((rows[i][0], links[i], least_id[root(i)]) for i in range(n))
+
+
+@pytest.mark.parametrize("labels", ["aaaa", "abab", "abaa"])
+def test_one_id_with_several_vectors(spark, labels):
+    rows = [(i, v, c) for (i, v), c in zip([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.001]), (3, [0.001, 1.0])], labels)]
+    got = embeddings.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == exact_links(rows, 0.98)
+
+
+def test_graphs_without_the_small_branch(spark):
+    """All links of 5000 vectors of one label over four shards, none of them compared whole at first; the audits say how it went."""
+    draw = np.random.default_rng(2)
+    base = draw.normal(0, 1, (2200, 24))
+    vectors = np.concatenate([base, base[:1600] + draw.normal(0, 0.02, (1600, 24)), base[3] + draw.normal(0, 0.02, (1200, 24))])
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(vectors)]
+    got, audits = embeddings.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label string"), shard=1250, scan_small=False)
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got.collect()) == exact_links(rows, 0.98)
+    audits = audits.collect()
+    assert sum(a.queries for a in audits) == 5000 * len({a.shard for a in audits})
+    assert min(a.recall for a in audits) >= 0.99 and sum(a.scanned for a in audits) <= len(audits) // 4
