@@ -13,6 +13,7 @@ prunes them.
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import zlib
@@ -20,28 +21,66 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskloom.llm.alignment import BYTE_OF
 from riskloom.llm.common import exact_ids
 
 BLOCK = 1 << 20
-ROUNDS, RULES_PER_ROUND, LEAST = 4, 2048, 16
+GROUP_CHARS = 1 << 18
+RULES_PER_ROUND = 2048
+GAIN = 32
+RULE_BYTES = 12  # a rule's two symbols and its expansion length
+SYMBOLS = 1 << 21  # two symbols and their signs share 64 bits
 BINS = 18
 WORD = re.compile(r"[^ \t\n\r\f\v]+")
-# Byte symbols of byte-level vocabularies: visible Latin-1 bytes stand for themselves, the others follow from 256 on.
-_VISIBLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
-SYMBOL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
+PLAIN = re.compile("[!-~\xa1-\u024f]+")
 CONTROL = re.compile("[\x1c-\x1f]")
 
 
-class WordTable(dict):
+def word_encoder(vocab: dict[str, int], merges: list, special: set[int], suffix: str):
+    """The BPE model of a byte-level vocabulary with word ends as an encoder of pieces that end with a zero byte, with the id of a space between them;
+    or None if its merges are not in the order of their ids.
+
+    The word end is written as a zero byte. Its pairs come right behind the single bytes in such a vocabulary, so it joins the last byte of
+    a word before anything else is merged, as the model wants it; other words with a zero byte are not for this encoder.
+    """
+    import tiktoken
+
+    def raw(token: str) -> bytes:
+        body = token.removesuffix(suffix)
+        return bytes(BYTE_OF[c] for c in body) + (b"\0" if len(body) < len(token) else b"")
+
+    ranks = {raw(t): i for t, i in vocab.items() if i not in special}
+    made = [vocab[a + b] for a, b in (m.split(" ") if isinstance(m, str) else m for m in merges)]
+    ends = [i for t, i in ranks.items() if len(t) == 2 and t[1:] == b"\0"]
+    singles = [i for t, i in ranks.items() if len(t) == 1]
+    if len(singles) != 256 or len(ends) != 256 or any(x >= y for x, y in zip(made, made[1:])) or max(ends) >= made[0]:
+        return None
+    encode = tiktoken.Encoding("words", pat_str=r"[^\x00 ]+\x00| ", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return encode, ranks[b" "]
+
+
+class _Known(dict):
+    """Word -> ids; a word that is asked for and missing is noted, and None for now."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: dict[str, None] = {}
+
+    def __missing__(self, word: str) -> None:
+        self.missing[word] = None
+
+
+class WordTable:
     """white-space-free word -> its ids as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and none of its steps looks across it, so words are encoded one by one, each distinct word once:
-    a Python worker keeps its table between tasks. Two generations of ``most`` words bound it; a word that was dropped is
-    encoded again, with the same ids.
+    The tokenizer drops white space and none of its steps looks across it (``check_words``), so each distinct word is encoded once: a Python
+    worker keeps its table between tasks, and the words of a group of texts that it lacks are encoded together. Two generations of ``most``
+    words bound it; words above ``longest`` characters are not kept. A word that was dropped is encoded again, with the same ids.
     """
 
     most, longest = 400_000, 48
@@ -49,37 +88,73 @@ class WordTable(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.old = self.tokenizer.model, {}
-
-    def __missing__(self, word: str) -> bytes:
-        packed = self.old.get(word)
-        if packed is None:
-            packed = self.segment(word)
-        if len(word) <= self.longest:
-            self[word] = packed
-        return packed
-
-    def segment(self, word: str) -> bytes:
-        body = word[:-1] if word[-1] in ".,;:!?" else word
-        low = body.lower()
-        if max(word) < "\u0250" and body.isalpha() and low.isalpha():
-            # Latin letters are normal already; lowered and written as byte symbols they are one piece for the model, and a mark
-            # behind them is the next piece. All other words go through the whole tokenizer.
-            ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(SYMBOL))]
-            return struct.pack(f"<{len(ids)}I", *ids) + (self[word[-1]] if len(body) < len(word) else b"")
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        self.young, self.old = _Known(), {}
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        model, self.model = spec["model"], None
+        special = {t["id"] for t in spec.get("added_tokens", [])}
+        split = next((s for s in (spec.get("pre_tokenizer") or {}).get("pretokenizers", []) if s["type"] == "Split"), None)
+        if split and split.get("invert") and model.get("end_of_word_suffix"):
+            self.pieces = regex.compile(split["pattern"]["Regex"])
+            self.model = word_encoder(model["vocab"], model["merges"], special, model["end_of_word_suffix"])
+
+    def segment(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """(word, ids) of each word."""
+        # Visible characters below U+0250 are normal already, so lowering is all the normaliser does; one call encodes all such words.
+        plain = [w for w in words if self.model and PLAIN.fullmatch(w) and "<|" not in w]
+        if plain:
+            encode, space = self.model
+            lower = [w.lower() for w in plain]
+            ids = np.array(encode(" ".join([w + "\0" if w.isalpha() else "\0".join(self.pieces.findall(w)) + "\0" for w in lower])), "<u4")
+            cuts = np.flatnonzero(ids == space)
+            packed, starts, ends = ids.tobytes(), (4 * np.append(0, cuts + 1)).tolist(), (4 * np.append(cuts, len(ids))).tolist()
+            yield from ((w, packed[s:e]) for w, s, e in zip(plain, starts, ends))
+        for word in set(words).difference(plain) if len(plain) < len(words) else ():
+            ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+            yield word, struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str]) -> Iterator[bytes]:
+        group, chars = [], 0
         for text in texts:
-            if len(self) >= self.most:
-                self.old = dict(self)
-                self.clear()
             # str.split() also takes four control characters for white space that the tokenizer does not.
-            words = WORD.findall(text) if CONTROL.search(text) else text.split()
-            yield b"".join(map(self.__getitem__, words))
+            group.append(WORD.findall(text) if CONTROL.search(text) else text.split())
+            chars += len(text)
+            if chars >= GROUP_CHARS:
+                yield from self._group(group)
+                group, chars = [], 0
+        yield from self._group(group)
+
+    def _group(self, lists: list[list[str]]) -> Iterator[bytes]:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, _Known()
+        young = self.young
+        look, missing = young.__getitem__, young.missing
+        found: list[bytes | None] = []
+        for words in lists:
+            try:
+                found.append(b"".join(map(look, words)))
+            except TypeError:  # a word is missing; by now all missing ones of the text are noted
+                found.append(None)
+        old = self.old
+        new = [w for w in missing if w not in old]
+        young.update((w, old[w]) for w in missing if w in old)
+        young.update(self.segment(new))
+        for words, ids in zip(lists, found):
+            yield b"".join(map(look, words)) if ids is None else ids
+        missing.clear()
+        for word in new:
+            if len(word) > self.longest:
+                del young[word]
+
+
+def check_words(path: str, base: int) -> None:
+    """Raise unless this tokenizer encodes words one by one and all its ids are below ``base``."""
+    table, sample = WordTable(path), "A word, another\tWORD's\n\n\u00e9\u00df \u65e5\u672c 12 34.5 -- <b> x"
+    if table.tokenizer.encode(sample, add_special_tokens=False).ids != np.frombuffer(next(table.encode([sample])), "<u4").tolist():
+        raise ValueError("this tokenizer looks across white space; its texts need whole-text encoding")
+    if max(table.tokenizer.get_vocab().values()) >= base or base > SYMBOLS // 2:
+        raise ValueError(f"base must be above every id of the tokenizer and at most {SYMBOLS // 2}")
 
 
 _tables: dict[str, WordTable] = {}
@@ -92,14 +167,19 @@ def table_of(path: str) -> WordTable:
 
 
 def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
-    """One block. ``starts``: first id of each document, and the end; every document has at least one id."""
+    """One block. ``starts``: first id of each document, and the end; every document has at least one id.
+
+    A rule is made if the symbols it saves weigh more than its own ``RULE_BYTES``. Rounds go on while they pay: until two in a row make the block
+    smaller by less than one part in ``GAIN`` (a pair that shares its bin with another one gets a different bin in the next round).
+    """
     seq = ids.astype(np.int64)
     head = np.zeros(len(seq), bool)  # first symbol of a document
     head[starts[:-1]] = True
-    made, per_round, symbol = [], [], base
-    for turn in range(ROUNDS):
-        if len(seq) < 2:
-            break
+    made, per_round, symbol, turn, idle = [], [], base, 0, 0
+    # Two bytes a symbol while all symbols fit; a grammar is not made larger than that.
+    wide, room = (2, 1 << 16) if base < 1 << 16 else (4, SYMBOLS)
+    while idle < 2 and len(seq) > 1 and symbol < room:
+        turn += 1
         key = (seq[:-1] << 21) | seq[1:]
         slot = ((key * np.int64(-7046029254386353131 + 2 * turn)) >> np.int64(64 - BINS)) & ((1 << BINS) - 1)
         free = ~head[1:]
@@ -107,17 +187,20 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
         owner[slot[free]] = key[free]  # one pair speaks for a bin; others get another bin in the next round
         match = free & (owner[slot] == key)
         count = np.bincount(slot[match], minlength=1 << BINS)
-        best = np.flatnonzero(count >= LEAST)
-        best = best[np.argsort(-count[best], kind="stable")][:RULES_PER_ROUND]
-        if not len(best):
-            break
+        best = np.flatnonzero(count * wide > RULE_BYTES)
+        best = best[np.argsort(-count[best], kind="stable")][:min(RULES_PER_ROUND, room - symbol)]
         rank = np.full(1 << BINS, len(best), np.int64)
         rank[best] = np.arange(len(best))
         r = np.where(match, rank[slot], len(best))
         before, after = np.append(len(best) + 1, r[:-1]), np.append(r[1:], len(best) + 1)
         take = np.flatnonzero((r < len(best)) & (r < before) & (r <= after))
         # A run of one symbol ties with itself; the strict side keeps its leftmost pair, so chosen pairs never overlap.
-        seq[take] = symbol + r[take]
+        pays = np.bincount(r[take], minlength=len(best)) * wide > RULE_BYTES
+        take, best, number = take[pays[r[take]]], best[pays], np.cumsum(pays) - 1
+        idle = idle + 1 if (len(take) * wide - len(best) * RULE_BYTES) * GAIN < len(seq) * wide else 0
+        if not len(best):
+            continue
+        seq[take] = symbol + number[r[take]]
         keep = np.ones(len(seq), bool)
         keep[take + 1] = False
         seq, head = seq[keep], head[keep]
@@ -130,7 +213,6 @@ def compress(ids: np.ndarray, starts: np.ndarray, base: int) -> bytes:
     for part in made:
         lengths[at:at + len(part)] = lengths[part[:, 0]] + lengths[part[:, 1]]
         at += len(part)
-    wide = 2 if symbol <= 1 << 16 else 4
     places = np.append(np.flatnonzero(head), len(seq))
     header = np.array([base, len(per_round), len(rules), len(seq), len(places) - 1, wide, len(ids), 0], "<u4")
     return b"".join([b"RPB1", header.tobytes(), np.array(per_round, "<u4").tobytes(), rules.astype("<u4").tobytes(),
@@ -189,6 +271,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, base: int = 1
     A null text is empty and holds the end id only. Rows with one id are neighbours, ordered by the hash of their text; a null id comes
     first. ``base`` is above every id of the tokenizer. Other columns are not read. An empty table writes no block.
     """
+    check_words(tokenizer, base)
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -36,6 +36,42 @@ def test_words_equal_whole_text():
         assert memoryview(packed).cast("I").tolist() == words.tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_words_of_the_fast_model():
+    words = token_files.WordTable(P.path("word_bpe_49k.json"))
+    assert words.model is not None
+    draw = random.Random(7)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    letters += list("'.,-;|<>019\u00d7\u00bd\u00ad")
+    for word in ["".join(draw.choice(letters[:60] if k % 2 else letters) for _ in range(draw.randint(1, 25))) for k in range(4000)] + [
+            "a", "A,", "x" * 900, "it's", "We'Ll've", "<|endoftext|>", "a<|startoftext|>b", "\u0130x", "1st"]:
+        assert np.frombuffer(next(words.encode([word])), "<u4").tolist() == words.tokenizer.encode(word, add_special_tokens=False).ids, word
+
+
+def test_base_and_words_are_checked():
+    path = P.path("word_bpe_49k.json")
+    token_files.check_words(path, 49_408)
+    for base in (49_407, 1 << 21):
+        with pytest.raises(ValueError):
+            token_files.check_words(path, base)
+    with pytest.raises(ValueError):
+        token_files.check_words(P.path("byte_bpe_50k.json"), 1 << 17)
+
+
+def test_repeats_shrink_until_rules_cost_more():
+    draw = np.random.default_rng(5)
+    passage = draw.integers(0, 49_000, 1000).astype("<u4")
+    ids = np.tile(passage, 1000)
+    packed = token_files.compress(ids, np.array([0, len(ids)]), 49_408)
+    assert len(packed) < 60_000
+    block = token_files.Block(packed)
+    assert (block.expand(block.sequence) == ids).all()
+    plain = draw.integers(0, 49_000, 20_000).astype("<u4")  # nothing repeats, so no rule is made
+    assert len(token_files.Block(token_files.compress(plain, np.array([0, len(plain)]), 49_408)).rules) == 0
+    full = np.tile(draw.integers(0, 5, 50_000), 4).astype("<u4")  # the grammar ends where symbols would need more bytes
+    block = token_files.Block(token_files.compress(full, np.array([0, len(full)]), (1 << 16) - 10))
+    assert len(block.rules) <= 10 and (block.expand(block.sequence) == full).all()
+
+
 def test_encode_decode_awkward(spark, awkward, empty):
     path = P.path("piece_bpe_32k.model")
     sp = pieces.load(path)
