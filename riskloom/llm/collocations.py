@@ -14,6 +14,7 @@ words from which the flow is the same. Flows below the threshold never leave a b
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ HELD = 600_000  # distinct grams a task holds before it sends them
 BUCKET_CHARS = 6 << 20  # characters of text for which there is one bucket
 SALTS = 64
 _ENDS, _BLANK = b".,;:!?\n\v\f\r", b" \t"
+LOW = re.compile(b"[\0-\x1f]")
+SPACE_FIRST = bytes(0 if b == 32 else b + 1 if b < 32 else b for b in range(256))
 # One pass over the bytes: A-Z become a-z, piece ends become line feeds, tabs become spaces.
 FOLD = bytes(10 if b in _ENDS else 32 if b in _BLANK else b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -49,41 +52,48 @@ def runs_of(lang: str, counts: Counter, buckets: int) -> list[tuple]:
     """(lang, bucket, grams, counts) of one task: for each bucket a sorted, compressed run."""
     press = zstandard.ZstdCompressor(level=1).compress
     parts: dict[int, list[bytes]] = {}
-    head, part = None, None
+    more, add = b"\n", None  # no gram has a line feed
     for gram in sorted(counts):
-        first = gram.split(b" ", 2)[:2]
-        if first != head:
-            head = first
-            part = parts.setdefault(zlib.crc32(b" ".join(first)) % buckets, [])
-        part.append(gram)
+        if not gram.startswith(more):
+            words = gram.split(b" ", 2)[:2]
+            first = b" ".join(words)
+            more, add = first + b" " if len(words) > 1 else b"\n", parts.setdefault(zlib.crc32(first) % buckets, []).append
+        add(gram)
     return [(lang, b, press(b"\n".join(grams)), press(np.array([counts[g] for g in grams], "<u8").tobytes()))
             for b, grams in parts.items()]
 
 
-def flows(grams: list[bytes], counts: list[int], least: int) -> tuple[list[tuple], Counter]:
-    """Unary paths (gram, flow, words from which it holds) of at least ``least``, for grams in order; and the flow of first words.
+def flows(grams: list[bytes], counts: list[int], least: int) -> tuple[list[tuple], dict[bytes, int]]:
+    """Unary paths (gram, flow, words from which it holds) of at least ``least``, for grams in ``ordered``; and the flow of first words.
 
     All grams that begin with the same two words are there. Where those two words flow less than ``least``, so does everything behind them.
     """
     paths: list[tuple] = []
-    first_words: Counter = Counter()
-    head, at, flow = None, 0, 0
+    first_words: dict[bytes, int] = {}
+    words, more, at, flow = [], b"\n", 0, 0
     for k, (gram, n) in enumerate(zip(grams, counts)):
-        first = gram.split(b" ", 2)[:2]
-        if first != head:
-            if head is not None:
-                first_words[head[0]] += flow
+        if not gram.startswith(more):
+            if words:
+                first_words[words[0]] = first_words.get(words[0], 0) + flow
                 if flow >= least:
                     _unary(grams[at:k], counts[at:k], least, paths)
-            head, at, flow = first, k, 0
+            words = gram.split(b" ", 2)[:2]
+            more, at, flow = b" ".join(words) + b" " if len(words) > 1 else b"\n", k, 0
         flow += n
-    if head is not None:
-        first_words[head[0]] += flow
+    if words:
+        first_words[words[0]] = first_words.get(words[0], 0) + flow
         if flow >= least:
             _unary(grams[at:], counts[at:], least, paths)
     return paths, first_words
 
 
+def ordered(grams: dict[bytes, int]) -> list[bytes]:
+    """Grams in the order of their words, so those that begin with the same words are neighbours: the space counts as the lowest byte."""
+    if LOW.search(b"".join(grams)):
+        return sorted(grams, key=lambda g: g.translate(SPACE_FIRST))
+    return sorted(grams)
+
+
 def _unary(grams: list[bytes], counts: list[int], least: int, paths: list[tuple]) -> None:
     """Add the paths of grams that share their first two words; a gram of one word is only a piece end and has no path."""
     # open nodes of two and three words: [words, flow, flow of the heaviest way out, path of that way]
@@ -161,13 +171,13 @@ def phrase_counts(docs: DataFrame, least: int = 30, lang: str = "lang", text: st
             yield flush()
 
     def add_up(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        total: Counter = Counter()
+        total: dict[bytes, int] = {}
         expand = zstandard.ZstdDecompressor().decompress
         for grams, counts in zip(group["grams"], group["counts"]):
             n = np.frombuffer(expand(counts), "<u8").tolist()
             for gram, k in zip(expand(grams).split(b"\n"), n):
-                total[gram] += k
-        order = sorted(total)
+                total[gram] = total.get(gram, 0) + k
+        order = ordered(total)
         paths, words = flows(order, [total[g] for g in order], least)
         rows = [(key[0], gram.decode("utf-8", "replace"), n, low) for gram, n, low in paths]
         rows += [(key[0], word.decode("utf-8", "replace"), n, 0) for word, n in words.items()]
