@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,3 +27,24 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Iterable[str], how:
 def join_unique(df: DataFrame, unique: DataFrame, keys: Iterable[str], how: str = "left") -> DataFrame:
     """Join rows to a table that holds each key once. Adaptive execution splits a hot key's rows and repeats its one row."""
     return null_safe_join(df, unique, keys, how)
+
+
+def part_borders(df: DataFrame, keys: Iterable[str], order: str, tie: str, parts: int | None = None) -> DataFrame:
+    """(keys, ``_borders``): sorted (order, tie) of sampled rows, for keys with a row in the sample.
+
+    The sample holds ``parts`` - 1 rows (default: the session's shuffle partitions), so the table is bounded and may be broadcast. It is drawn by
+    a hash of (keys, order, tie), so every use of it is the same and no job runs for it while a plan is built. A key with a third of all rows
+    has about a third of the borders.
+    """
+    keys = list(keys)
+    number = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = df.select(*keys, F.col(order).alias("_t"), F.col(tie).alias("_i")).orderBy(
+        F.xxhash64(*keys, "_t", "_i"), *keys, "_t", "_i").limit(max(1, number - 1))
+    return drawn.groupBy(*keys).agg(F.sort_array(F.collect_set(F.struct(F.col("_t").alias("t"), F.col("_i").alias("i")))).alias("_borders"))
+
+
+def part_number(order: str, tie: str, most: int) -> Column:
+    """How many of the row's ``_borders`` stand at or before (order, tie), by binary search; 0 for a key without any."""
+    here = F.struct(F.col(order).alias("t"), F.col(tie).alias("i"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(most.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get("_borders", at + s - 1) <= here, at + s).otherwise(at))
