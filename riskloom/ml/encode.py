@@ -22,7 +22,7 @@ from riskloom.operators.skew import join_unique, null_safe_join
 def index_categories(cols: Iterable[str], suffix: str = "_idx", unseen: str = "skip", order: str = "frequencyDesc") -> Pipeline:
     """Index every column by frequency, in one multi-column stage.
 
-    Spark ML keeps the labels on the driver: ``check_categories`` first, or ``dictionary_index`` for columns with many values.
+    Spark ML keeps the labels on the driver: fit it through ``fit_categories``, or use ``dictionary_index`` for columns with many values.
     """
     cols = list(cols)
     return Pipeline(stages=[StringIndexer(
@@ -37,6 +37,13 @@ def check_categories(df: DataFrame, cols: Iterable[str], most: int = 100_000) ->
         raise ValueError(f"too many categories to index on the driver, use dictionary_index: {wide}")
 
 
+def fit_categories(df: DataFrame, cols: Iterable[str], suffix: str = "_idx", unseen: str = "skip", order: str = "frequencyDesc", most: int = 100_000):
+    """Fitted ``index_categories``, after ``check_categories``."""
+    cols = list(cols)
+    check_categories(df, cols, most)
+    return index_categories(cols, suffix, unseen, order).fit(df)
+
+
 def dictionary(df: DataFrame, col: str, out: str | None = None) -> DataFrame:
     """(value, index) with running numbers, for columns of any size."""
     return number_values(df, col, out or f"{col}_idx")
@@ -153,3 +160,64 @@ def select_chi2(df: DataFrame, features: str, label: str, fpr: float = 0.05, out
     """Fitted selector of categorical features by the chi-square test at a false-positive rate."""
     selector = UnivariateFeatureSelector(featuresCol=features, labelCol=label, outputCol=out, selectionMode="fpr")
     return selector.setFeatureType("categorical").setLabelType("categorical").setSelectionThreshold(fpr).fit(df)
+
+
+def _ln_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0, by Stirling's series eight steps further up."""
+    y = z + 8
+    series = (y - 0.5) * F.ln(y) - y + 0.9189385332046727 + 1 / (12 * y) - 1 / (360 * y ** 3) + 1 / (1260 * y ** 5) - 1 / (1680 * y ** 7)
+    return series - sum((F.ln(z + i) for i in range(1, 8)), F.ln(z))
+
+
+def upper_gamma_share(a: Column, x: Column) -> Column:
+    """Q(a, x), the upper regularised incomplete gamma function: series below a + 1, continued fraction above.
+
+    The number of terms grows with the square root of ``a``, as the width of the peak does.
+    """
+    steps = F.sequence(F.lit(1), (F.lit(60) + 12 * F.sqrt(a)).cast("int"))
+    front = F.exp(a * F.ln(x) - x - _ln_gamma(a))
+    pair = F.struct((1 / a).alias("term"), (1 / a).alias("total"))
+    series = F.aggregate(steps, pair, lambda s, k: F.struct(
+        (s["term"] * x / (a + k)).alias("term"), (s["total"] + s["term"] * x / (a + k)).alias("total")), lambda s: s["total"])
+    tiny = 1e-300
+
+    def lentz(s: Column, k: Column) -> Column:
+        an, b = -k * (k - a), x + 1 - a + 2 * k
+        d = an * s["d"] + b
+        d = 1 / F.when(F.abs(d) < tiny, F.lit(tiny)).otherwise(d)
+        c = b + an / s["c"]
+        c = F.when(F.abs(c) < tiny, F.lit(tiny)).otherwise(c)
+        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+
+    b = x + 1 - a
+    fraction = F.aggregate(steps, F.struct(F.lit(1 / tiny).alias("c"), (1 / b).alias("d"), (1 / b).alias("h")), lentz, lambda s: s["h"])
+    return F.when(x <= 0, F.lit(1.0)).when(x < a + 1, F.greatest(F.lit(0.0), 1 - front * series)).otherwise(F.least(F.lit(1.0), front * fraction))
+
+
+def chi2_wide(df: DataFrame, cols: Iterable[str], label: str) -> DataFrame:
+    """(col, rows, categories, dof, statistic, p_value): Pearson's test of every column against ``label``, for any number of categories.
+
+    Counts stay in long form, one row per (column, value, label), so nothing is gathered; a null value is a category of its own, rows without
+    a label are left out. The statistic is n * (sum of o^2 / (row total * column total) - 1), which needs no empty cells. A column or a label with
+    one value has no test: its statistic is 0 and its p-value 1.
+    """
+    known = df.where(F.col(label).isNotNull())
+    cells = melt(known, cols, [label]).groupBy("col", "value", label).agg(F.count(F.lit(1)).alias("o"))
+    by_value = cells.groupBy("col", "value").agg(
+        F.sum("o").alias("r"), F.collect_list(F.struct(F.col(label).alias("y"), "o")).alias("cells"))  # a list holds one entry per label
+    by_label = cells.groupBy("col", F.col(label).alias("y")).agg(F.sum("o").alias("c"))
+    parts = by_value.select("col", "r", F.explode("cells").alias("cell")).select("col", "r", "cell.y", "cell.o")
+    parts = parts.join(by_label, ["col", "y"]).groupBy("col").agg(
+        F.sum(F.col("o").cast("double") * F.col("o") / (F.col("r").cast("double") * F.col("c"))).alias("s"))
+    sizes = by_value.groupBy("col").agg(F.count(F.lit(1)).alias("categories"), F.sum("r").alias("rows"))
+    labels = by_label.groupBy("col").agg(F.count(F.lit(1)).alias("labels"))
+    out = parts.join(sizes, "col").join(labels, "col")
+    dof = (F.col("categories") - 1) * (F.col("labels") - 1)
+    out = out.select("col", "rows", "categories", dof.alias("dof"), F.greatest(F.lit(0.0), F.col("rows") * (F.col("s") - 1)).alias("statistic"))
+    p = F.when(F.col("dof") == 0, F.lit(1.0)).otherwise(upper_gamma_share(F.greatest(F.col("dof"), F.lit(1)) / 2.0, F.col("statistic") / 2.0))
+    return out.withColumn("statistic", F.when(F.col("dof") == 0, F.lit(0.0)).otherwise(F.col("statistic"))).withColumn("p_value", p)
+
+
+def select_wide(df: DataFrame, cols: Iterable[str], label: str, fpr: float = 0.05) -> DataFrame:
+    """The rows of ``chi2_wide`` whose p-value is below ``fpr``."""
+    return chi2_wide(df, cols, label).where(F.col("p_value") < fpr)

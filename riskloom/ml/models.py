@@ -7,9 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
-from pyspark.sql import DataFrame
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.functions import uniform_draw
 from riskloom.operators.labels import day_slice, sample_fraction
 
 
@@ -71,6 +73,47 @@ def k_scan(df: DataFrame, ks: Iterable[int], id_col: str | None = None, fraction
     return df.sparkSession.createDataFrame(costs, "k int, cost double")
 
 
+def coreset(df: DataFrame, id_col: str, features: str = "features", size: int = 4096, seed: int = 1) -> DataFrame:
+    """(features, weight): a weighted sample of about ``size`` rows on which k-means costs are close to those on all rows.
+
+    A row is drawn with probability min(1, size * (1/(2n) + d/(2D))) and weighs the inverse, where d is its squared distance from the mean
+    and D their sum, so rows far out are never missed and every centre set keeps its expected cost. Draws are a hash of ``id_col``, so
+    reruns agree. Rows with a null vector take no part.
+    """
+    values = vector_to_array(features)
+    rows = df.where(F.col(features).isNotNull()).select(F.col(id_col).alias("_id"), features, values.alias("_v"))
+    mean = rows.select(F.posexplode("_v").alias("_i", "_x")).groupBy("_i").agg(F.avg("_x").alias("_m"))
+    # One row: the mean has as many numbers as a vector.
+    centre = mean.agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("_c")).withColumn("_k", F.lit(0))
+    far = F.aggregate(F.zip_with("_v", "_c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
+    spread = rows.withColumn("_k", F.lit(0)).join(F.broadcast(centre), "_k").withColumn("_d", far)
+    total = spread.agg(F.count(F.lit(1)).alias("_n"), F.sum("_d").alias("_sum")).withColumn("_k", F.lit(0))
+    share = F.lit(0.5) / F.col("_n") + F.coalesce(F.try_divide(F.col("_d"), F.col("_sum")), F.try_divide(F.lit(1.0), F.col("_n"))) / 2
+    chance = F.least(F.lit(1.0), size * share)
+    return spread.join(F.broadcast(total), "_k").withColumn("_p", chance).where(uniform_draw(F.col("_id"), F.lit(seed)) < F.col("_p")).select(
+        features, (1 / F.col("_p")).alias("weight"))
+
+
+def k_scan_coreset(df: DataFrame, ks: Iterable[int], id_col: str, features: str = "features", size: int = 4096, seed: int = 1) -> DataFrame:
+    """(k, cost) of every k, fitted on one coreset; the costs of all fitted centres are then measured on all rows in one scan."""
+    sample = coreset(df, id_col, features, size, seed).persist()
+    try:
+        fitted = {k: KMeans(k=k, seed=seed, featuresCol=features, weightCol="weight").fit(sample).clusterCenters() for k in ks}
+    finally:
+        sample.unpersist()
+    # One row with all centres; it has as many numbers as the models have.
+    centres = df.sparkSession.createDataFrame([(0, *[[list(map(float, c)) for c in fitted[k]] for k in fitted])],
+                                              "_k int, " + ", ".join(f"c{k} array<array<double>>" for k in fitted))
+
+    def cost(k: int) -> Column:
+        away = F.transform(f"c{k}", lambda c: F.aggregate(F.zip_with("_v", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
+        return F.sum(F.array_min(away)).alias(f"s{k}")
+
+    rows = df.where(F.col(features).isNotNull()).select(F.lit(0).alias("_k"), vector_to_array(features).alias("_v"))
+    costs = rows.join(F.broadcast(centres), "_k").agg(*[cost(k) for k in fitted])
+    return costs.select(F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"s{k}").alias("cost")) for k in fitted])).alias("r")).select("r.*")
+
+
 def train_test_by_day(df: DataFrame, ts: str, train_day: str, test_day: str, cfg: ForestConfig = FOREST_TINY,
                       features: str = "features", label: str = "label"):
     """Train on one day and predict another."""

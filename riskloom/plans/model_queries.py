@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from riskloom.ml import encode, evaluate, models
 from riskloom.operators.labels import split
-from riskloom.operators.order import union_all
 from riskloom.plans.label_queries import bucket_sql
 from riskloom.plans.registry import query, rounded
 from riskloom.session import stored
@@ -24,7 +23,7 @@ FROM txn JOIN f USING (event_type) JOIN p ON p.place = CAST(txn.place AS VARCHAR
 """)
 def frequency_index(t):
     rows = t.txn.select("txn_id", "event_type", F.col("place").cast("string").alias("place"))
-    return encode.index_categories(["event_type", "place"]).fit(rows).transform(rows).select("txn_id", "event_type_idx", "place_idx")
+    return encode.fit_categories(rows, ["event_type", "place"]).transform(rows).select("txn_id", "event_type_idx", "place_idx")
 
 
 NUMBERED_SQL = "SELECT {c}, row_number() OVER (ORDER BY md5(CAST({c} AS VARCHAR)), {c}) - 1 AS {c}_idx FROM (SELECT DISTINCT {c} FROM {t})"
@@ -42,7 +41,7 @@ SELECT txn_id, CAST(event_type = 'click' AS INTEGER) + CAST(event_type = 'error'
 """)
 def one_hot_vectors(t):
     rows = t.txn.select("txn_id", "event_type")
-    indexed = encode.index_categories(["event_type"], order="alphabetAsc").fit(rows).transform(rows)
+    indexed = encode.fit_categories(rows, ["event_type"], order="alphabetAsc").transform(rows)
     encoded = encode.one_hot(["event_type_idx"]).fit(indexed).transform(indexed)
     levels = vector_to_array("event_type_idx_vec")
     return encoded.select("txn_id", F.aggregate(levels, F.lit(0.0), lambda a, b: a + b).cast("int").alias("ones"),
@@ -96,13 +95,19 @@ def hour_buckets(t):
     return encode.bucketize("hour", HOUR_EDGES, "bucket").transform(rows).select("txn_id", "bucket")
 
 
-# Edges come from a sketch: every bucket holds its 15th within the rank error on both sides, ties at an edge apart.
-@query("SELECT count(*) AS rows, 15 AS buckets, true AS balanced, true AS ordered FROM txn")
+@query()
 def quantile_buckets(t):
+    """(bucket, n, low, high) of fifteen buckets whose edges come from a sketch."""
     rows = t.txn.select("txn_id", F.col("cents").cast("double").alias("cents"))
     out = encode.quantile_buckets("cents", 15, "bucket").fit(rows).transform(rows)
-    ties = rows.groupBy("cents").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("ties"))
-    sizes = out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+    return out.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("cents").alias("low"), F.max("cents").alias("high"))
+
+
+# Edges come from a sketch: every bucket holds its 15th within the rank error on both sides, ties at an edge apart.
+@query("SELECT count(*) AS rows, 15 AS buckets, true AS balanced, true AS ordered FROM txn")
+def quantile_bucket_checks(t):
+    ties = t.txn.groupBy("cents").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("ties"))
+    sizes = quantile_buckets(t)
     after = F.lead("low").over(Window.orderBy("bucket"))  # one row per bucket
     whole = sizes.withColumn("in_order", F.coalesce(F.col("high") < after, F.lit(True))).agg(
         F.sum("n").alias("rows"), F.count(F.lit(1)).cast("int").alias("buckets"), F.min("n").alias("least"), F.max("n").alias("most"),
@@ -177,6 +182,27 @@ def chi_square_selection(t):
     return rounded(out.withColumn("selected", F.col("feature").isin(*chosen) if chosen else F.lit(False)), 4)
 
 
+WIDE_COLS = ["l_partkey", "l_suppkey", "l_linestatus"]
+WIDE_PARTS = " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS value, l_quantity > 25 AS y, count(*) AS o FROM lineitem GROUP BY ALL" for c in WIDE_COLS)
+
+
+@query(f"""
+WITH c AS ({WIDE_PARTS}),
+r AS (SELECT col, value, sum(o) AS r FROM c GROUP BY ALL), k AS (SELECT col, y, sum(o) AS k FROM c GROUP BY ALL), n AS (SELECT count(*) AS n FROM lineitem)
+SELECT r.col, any_value(n.n) AS rows, count(DISTINCT r.value) AS categories, (count(DISTINCT r.value) - 1) * (count(DISTINCT k.y) - 1) AS dof,
+  round(sum(pow(coalesce(c.o, 0) - r * k / CAST(n.n AS DOUBLE), 2) / (r * k / CAST(n.n AS DOUBLE))), 4) AS statistic
+FROM r JOIN k ON k.col = r.col CROSS JOIN n LEFT JOIN c ON c.col = r.col AND c.value = r.value AND c.y = k.y GROUP BY r.col""")
+def chi_square_wide(t):
+    rows = t.lineitem.withColumn("large", F.col("l_quantity") > 25)
+    return rounded(encode.chi2_wide(rows, WIDE_COLS, "large").select("col", "rows", "categories", "dof", "statistic"), 4)
+
+
+@query()
+def chi_square_wide_p_values(t):
+    """The p-values of the same tests. SQL has no incomplete gamma function; a test compares them with Spark ML's."""
+    return encode.chi2_wide(t.lineitem.withColumn("large", F.col("l_quantity") > 25), WIDE_COLS, "large")
+
+
 # --- models -----------------------------------------------------------------------------------
 
 def _training(t):
@@ -185,45 +211,70 @@ def _training(t):
     return encode.assemble(["cents", "hour", "place"]).transform(rows)
 
 
-# Models are trained on four fifths of the rows and score the held-out fifth. Which rows those are, their labels and the
-# range of the scores are the same in every engine.
+def _telling(t):
+    """The rows with a label that the columns tell, but for a tenth of them: large amounts, and middle ones at night."""
+    large = (F.col("cents") > 8000) | (F.col("cents") > 4000) & (F.col("hour") < 6)
+    noise = F.pmod(F.xxhash64("txn_id"), F.lit(10)) == 0
+    return _training(t).withColumn("label", (large != noise).cast("double"))
+
+
+# Models are trained on four fifths of the rows and score the held-out fifth. Their scores differ between engines, so the queries that return
+# them have no SQL twin; tests hold them against floors. The twins compare which rows are held out, their labels and the range of the scores.
 HELD_SQL = f"FROM txn WHERE {bucket_sql('txn_id', 7)} >= 800000"
 SCORED_SQL = f"SELECT txn_id, CAST(label AS DOUBLE) AS label, true AS is_class, true AS in_range {HELD_SQL}"
 
 
-def _held_out(t):
-    return split(_training(t), "txn_id", [0.8, 0.2], 7)
+def _held_out(rows):
+    return split(rows, "txn_id", [0.8, 0.2], 7)
 
 
-def _scored(scored):
+def _scores(scored):
     p = vector_to_array("probability")
-    return scored.select("txn_id", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"),
-                         (p[1].between(0.0, 1.0) & (F.abs(p[0] + p[1] - 1) < 1e-9)).alias("in_range"))
+    return scored.select("txn_id", "label", "prediction", p[1].alias("score"))
 
 
-@query(SCORED_SQL)
+@query()
 def random_forest_scores(t):
-    train, test = _held_out(t)
-    return _scored(models.train_rf(train, models.FOREST_WIDE).transform(test))
+    train, test = _held_out(_telling(t))
+    return _scores(models.train_rf(train, models.FOREST_WIDE).transform(test))
 
 
-@query("SELECT unnest(['cents', 'hour', 'place']) AS feature, true AS is_share, 1e0 AS whole")
-def random_forest_importances(t):
-    train, _ = _held_out(t)
-    out = evaluate.importances(models.train_rf(train, models.FOREST_COST), ["cents", "hour", "place"], t.spark)
-    return out.select("feature", F.col("importance").between(0.0, 1.0).alias("is_share"),
-                      F.round(F.sum("importance").over(Window.partitionBy()), 9).alias("whole"))
+@query()
+def deep_forest_scores(t):
+    train, test = _held_out(_telling(t))
+    return _scores(models.train_rf(train, models.FOREST_DEEP).transform(test))
 
 
 @query(SCORED_SQL)
+def random_forest_checks(t):
+    train, test = _held_out(_training(t))
+    return _scores(models.train_rf(train, models.FOREST_SMALL).transform(test)).select(
+        "txn_id", "label", F.col("prediction").isin(0.0, 1.0).alias("is_class"), F.col("score").between(0.0, 1.0).alias("in_range"))
+
+
+@query()
+def random_forest_importances(t):
+    """(feature, importance), the most telling feature first."""
+    train, _ = _held_out(_telling(t))
+    return evaluate.importances(models.train_rf(train, models.FOREST_COST), ["cents", "hour", "place"], t.spark)
+
+
+@query()
 def boosted_tree_scores(t):
-    train, test = _held_out(t)
-    return _scored(models.train_gbt(train).transform(test))
+    train, test = _held_out(_telling(t))
+    return _scores(models.train_gbt(train, iterations=40, step=0.1).transform(test))
 
 
-@query("SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM txn WHERE CAST(ts AS DATE) = DATE '2024-01-11'")
+@query()
 def forest_trained_by_day(t):
-    _, scored = models.train_test_by_day(_training(t), "ts", "2024-01-10", "2024-01-11", models.FOREST_SMALL)
+    """The confusion row of a forest trained on one day and tested on the next."""
+    _, scored = models.train_test_by_day(_telling(t), "ts", "2024-01-10", "2024-01-11", models.FOREST_SMALL)
+    return evaluate.confusion(scored)
+
+
+@query("SELECT count(*) FILTER (WHERE label = 1) AS positives, count(*) FILTER (WHERE label = 0) AS negatives FROM txn WHERE CAST(ts AS DATE) = DATE '2024-01-11'")
+def forest_trained_by_day_labels(t):
+    _, scored = models.train_test_by_day(_training(t), "ts", "2024-01-10", "2024-01-11", models.FOREST_TINY)
     return evaluate.confusion(scored).selectExpr("tp + fn AS positives", "tn + fp AS negatives")
 
 
@@ -233,23 +284,28 @@ def _points(t):
     return t.embeddings.select("vec_id", "label", array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
 
 
-@query("SELECT vec_id, 1 AS clusters FROM embeddings")
+@query()
 def k_means_members(t):
-    """Every vector is a member of exactly one of the ten clusters."""
+    """(vec_id, cluster): every vector is a member of one of the ten clusters."""
     points = stored(_points(t), "points")
-    model = models.cluster(points, 10, 1)
-    members = [models.cluster_members(model, points, k).select("vec_id") for k in range(10)]
-    return union_all(*members).groupBy("vec_id").agg(F.count(F.lit(1)).cast("int").alias("clusters"))
+    return models.cluster(points, 10, 1).transform(points).select("vec_id", F.col("prediction").alias("cluster"))
 
 
-@query("""
-SELECT unnest([5, 10, 15, 20, 25, 30]) AS k, true AS below_total FROM (SELECT 1)
-""")
+@query("SELECT vec_id, true AS is_cluster FROM embeddings")
+def k_means_checks(t):
+    return k_means_members(t).select("vec_id", F.col("cluster").between(0, 9).alias("is_cluster"))
+
+
+@query()
 def k_means_cost_scan(t):
-    points = t.embeddings.select(F.posexplode(F.col("embedding").cast("array<double>")).alias("i", "v"))
-    total = points.groupBy("i").agg((F.var_pop("v") * F.count("v")).alias("s")).agg(F.sum("s")).first()[0]
-    return models.k_scan(_points(t), [5, 10, 15, 20, 25, 30]).select(
-        "k", ((F.col("cost") > 0) & (F.col("cost") <= total)).alias("below_total"))
+    """(k, cost) of a full fit for each k."""
+    return models.k_scan(_points(t), [5, 10, 15, 20, 25, 30])
+
+
+@query()
+def k_means_coreset_scan(t):
+    """(k, cost): centres fitted on one coreset for all k, costs measured on every vector in one pass."""
+    return models.k_scan_coreset(_points(t), [5, 10, 15, 20, 25, 30], "vec_id")
 
 
 # --- evaluation -------------------------------------------------------------------------------
@@ -287,6 +343,35 @@ def roc_area(t):
     return t.spark.createDataFrame([(round(evaluate.auc(rows), 6),)], "roc double")
 
 
+EXACT_SQL = """
+WITH s AS (SELECT cents AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM txn GROUP BY cents),
+c AS (SELECT s, p, n, sum(p) OVER w AS hp, sum(p + n) OVER w AS h, sum(n) OVER (ORDER BY s) - n AS below FROM s WINDOW w AS (ORDER BY s DESC)),
+e AS (SELECT *, hp / CAST(h AS DOUBLE) AS q, lag(hp / CAST(h AS DOUBLE)) OVER (ORDER BY s DESC) AS before FROM c)
+SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * CAST(sum(n) AS DOUBLE)), 6) AS roc, round(sum(p * (q + coalesce(before, q)) / 2) / sum(p), 6) AS pr,
+  CAST(sum(p) AS BIGINT) AS positives, CAST(sum(n) AS BIGINT) AS negatives FROM e
+"""
+
+
+@query(EXACT_SQL)
+def exact_areas(t):
+    return rounded(evaluate.exact_areas(t.txn, "cents"))
+
+
+@query(EXACT_SQL)
+def exact_areas_split(t):
+    return rounded(evaluate.exact_areas(t.txn, "cents", parts=97))
+
+
+@query("""
+WITH s AS (SELECT cents AS cut, count(*) FILTER (WHERE label = 1) AS p, count(*) FILTER (WHERE label = 0) AS n FROM txn GROUP BY cents),
+c AS (SELECT cut, CAST(sum(p) OVER w - p AS BIGINT) AS tp, CAST(sum(n) OVER w - n AS BIGINT) AS fp, CAST(sum(p) OVER () AS BIGINT) AS ap,
+  CAST(sum(n) OVER () AS BIGINT) AS an FROM s WINDOW w AS (ORDER BY cut))
+SELECT cut, tp, an - fp AS tn, fp, ap - tp AS fn FROM c
+""")
+def threshold_at_every_score(t):
+    return evaluate.every_threshold(t.txn, "cents").select("cut", "tp", "tn", "fp", "fn")
+
+
 # Trapezoids over (recall, precision) from the highest score down, starting at recall 0 with the first precision.
 @query("""
 WITH s AS (SELECT l_discount AS s, count(*) FILTER (WHERE label = 1) AS p, count(*) AS n FROM lines GROUP BY l_discount),

@@ -1,7 +1,13 @@
+import os
+import random
+
 import pytest
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from riskloom.ml import encode, evaluate, models
+from riskloom.plans import load_queries
+from riskloom.session import stored
 
 
 @pytest.fixture(scope="module")
@@ -68,3 +74,101 @@ def test_scalers_buckets_and_selection(spark, points):
     assert hashed.first().features.size == 64
     hot = encode.one_hot(["signal"]).fit(points).transform(points)
     assert hot.first().signal_vec.numNonzeros() == 1
+
+
+FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def result(spark, name):
+    return load_queries()[0][name](spark, FOLDER)
+
+
+@pytest.mark.parametrize("name, floor", [("random_forest_scores", 0.8), ("deep_forest_scores", 0.8), ("boosted_tree_scores", 0.8)])
+def test_scores_on_the_given_table(spark, name, floor):
+    """A tenth of the labels is noise, so no model passes 0.9 by much; one that predicts a constant stays at 0.5."""
+    scored = stored(result(spark, name), "scored")
+    areas = evaluate.exact_areas(scored, "score").first()
+    assert areas.roc > floor and scored.select("score").distinct().count() > 10
+    assert scored.where("score NOT BETWEEN 0 AND 1").count() == 0
+
+
+def test_importances_rank_the_planted_feature_first(spark):
+    rows = result(spark, "random_forest_importances").collect()
+    assert rows[0].feature == "cents" and {r.feature for r in rows} == {"cents", "hour", "place"}
+    assert abs(sum(r.importance for r in rows) - 1) < 1e-9 and rows[0].importance > 0.6
+
+
+def test_day_model_predicts_the_next_day(spark):
+    c = result(spark, "forest_trained_by_day").first()
+    assert c.tp + c.tn > 1.5 * (c.fp + c.fn)  # some thirty rows a day at the smallest scale
+
+
+def test_costs_fall_with_k_and_the_coreset_is_close(spark):
+    full = {r.k: r.cost for r in result(spark, "k_means_cost_scan").collect()}
+    assert list(full) == sorted(full) and full[30] < full[5]
+    core = {r.k: r.cost for r in result(spark, "k_means_coreset_scan").collect()}
+    assert core.keys() == full.keys() and all(abs(core[k] / full[k] - 1) < 0.05 for k in full)
+
+
+def test_a_small_coreset_keeps_costs(spark):
+    rows = spark.range(20_000).select("id", F.array(F.pmod("id", F.lit(4)) * 10 + F.randn(1), F.when(F.col("id") < 20, 500.0).otherwise(F.randn(2))).alias("x"))
+    rows = stored(rows, "points").select("id", array_to_vector("x").alias("features"))
+    sample = models.coreset(rows, "id", size=800)
+    assert 400 < sample.count() < 1200
+    assert abs(sample.agg(F.sum("weight")).first()[0] / 20_000 - 1) < 0.1
+    full = {r.k: r.cost for r in models.k_scan(rows, [2]).collect()}
+    core = {r.k: r.cost for r in models.k_scan_coreset(rows, [2], "id", size=800).collect()}
+    assert core[2] < 1.05 * full[2]  # the twenty rows far out are a cluster of their own in both
+
+
+def test_p_values_equal_the_library(spark):
+    from pyspark.ml.stat import ChiSquareTest
+
+    rows = stored(spark.range(4000).select((F.rand(1) * 400).cast("int").alias("wide"), (F.rand(2) * 7).cast("int").alias("few"), F.lit(1).alias("one"),
+                                           F.when(F.rand(3) < 0.3, 1.0).otherwise(0.0).alias("label")), "cells")
+    rows = rows.withColumn("told", F.when(F.rand(4) < 0.1, 1 - F.col("label")).otherwise(F.col("label")).cast("int"))
+    got = {r.col: r for r in encode.chi2_wide(rows, ["wide", "few", "told", "one"], "label").collect()}
+    vectors = encode.assemble(["wide", "few", "told"]).transform(rows)
+    want = ChiSquareTest.test(vectors, "features", "label", flatten=True).orderBy("featureIndex").collect()
+    for name, w in zip(["wide", "few", "told"], want):
+        assert got[name].dof == w.degreesOfFreedom and abs(got[name].statistic - w.statistic) < 1e-6 * max(1, w.statistic)
+        assert abs(got[name].p_value - w.pValue) < 1e-9
+    assert (got["one"].dof, got["one"].statistic, got["one"].p_value) == (0, 0.0, 1.0)
+    assert encode.select_wide(rows, ["wide", "few", "told"], "label", 1e-6).select("col").collect() == [("told",)]
+    assert encode.chi2_wide(rows.where("false"), ["few"], "label").collect() == []
+
+
+def test_chi_square_of_ten_thousand_categories(spark):
+    """Above the library's limit: with as many values as here a uniform column has a p-value away from both ends."""
+    rows = spark.range(120_000).select(F.pmod(F.xxhash64("id"), F.lit(20_000)).alias("v"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(2))).alias("label"))
+    r = encode.chi2_wide(rows, ["v"], "label").first()
+    assert r.dof > 19_000 and 0.001 < r.p_value < 0.999 and abs(r.statistic / r.dof - 1) < 0.05
+
+
+@pytest.mark.parametrize("parts", [2, 60])
+def test_exact_areas(spark, parts):
+    draw = random.Random(parts)
+    rows = [(draw.choice([None, *map(float, range(40))]), draw.randint(0, 1)) for _ in range(500)]
+    df = spark.createDataFrame(rows, "s double, label int")
+    known = [r for r in rows if r[0] is not None]
+    pos, neg = ([s for s, y in known if y == v] for v in (1, 0))
+    roc = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    pr = last = 0.0
+    before = None
+    for cut in sorted({s for s, _ in known}, reverse=True):
+        tp = sum(p >= cut for p in pos)
+        precision = tp / (tp + sum(n >= cut for n in neg))
+        pr += (tp / len(pos) - last) * (precision + (precision if before is None else before)) / 2
+        last, before = tp / len(pos), precision
+    got = evaluate.exact_areas(df, "s", parts=parts).first()
+    assert abs(got.roc - roc) < 1e-12 and abs(got.pr - pr) < 1e-12 and (got.positives, got.negatives) == (len(pos), len(neg))
+    one = evaluate.exact_areas(df.where("label = 1"), "s").first()
+    assert one.roc is None and one.pr == 1.0
+    assert evaluate.exact_areas(df.where("false"), "s").first().roc is None
+
+
+def test_real_quantiles(spark):
+    rows = {r.p: r for r in result(spark, "approximate_quantiles").collect()}
+    assert all(abs(r.rank - p) <= 0.011 for p, r in rows.items()) and len(rows) == 5
+    buckets = result(spark, "quantile_buckets").collect()
+    assert len(buckets) == 15 and max(r.n for r in buckets) < 1.3 * min(r.n for r in buckets)
