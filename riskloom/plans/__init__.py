@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-QUERY_MODULES = ["scalar", "profile", "window", "label", "model", "graph", "source", "composed"]
+QUERY_MODULES = ["scalar", "profile", "window", "label", "model", "graph", "source", "sketch", "composed"]
 
 
 def load_queries():
