@@ -169,3 +169,63 @@ def walk_files(t):
 @query("SELECT least(5, count(*)) AS rows FROM orders")
 def first_rows(t):
     return order.head(t.orders, 5).agg(F.count(F.lit(1)).alias("rows"))
+
+
+# A log with planted bad lines: some lack their last field, some have one too many.
+PLANT = "CASE WHEN txn_id % 97 = 5 THEN 'short' WHEN txn_id % 89 = 7 THEN 'long' ELSE 'good' END"
+
+
+@query(f"""
+WITH l AS (SELECT *, {PLANT} AS plant FROM txn)
+SELECT 'good' AS kind, CAST(txn_id AS VARCHAR) AS txn_id, CAST(card AS VARCHAR) AS card, event_type AS event, CAST(NULL AS VARCHAR) AS line, strftime(ts, '%Y%m%d') AS pdate
+FROM l WHERE plant = 'good'
+UNION ALL SELECT 'bad', NULL, NULL, NULL, '"' || txn_id || '","' || card || '"' || CASE WHEN plant = 'long' THEN ',"' || event_type || '","x"' ELSE '' END,
+  strftime(ts, '%Y%m%d') FROM l WHERE plant <> 'good'
+""")
+def quarantined_log_lines(t):
+    """Good rows and bad lines of a daily log, each with its day."""
+    path = t.scratch("planted-log")
+    line = F.format_string('"%s","%s"', F.col("txn_id"), F.col("card"))
+    plant = F.expr(PLANT)
+    line = F.when(plant == "short", line).when(plant == "long", F.concat(line, F.format_string(',"%s","x"', F.col("event_type")))).otherwise(
+        F.concat(line, F.format_string(',"%s"', F.col("event_type"))))
+    t.txn.select(F.date_format("ts", "yyyyMMdd").alias("pdate"), line.alias("value")).write.partitionBy("pdate").text(path)
+    log = rd.read_daily_log(t.spark, path, "20230101", "20251231", ["txn_id", "card", "event"], "{base}/pdate={day}", checked=True)
+    bad = F.col(rd.BAD).isNotNull()
+    return log.select(F.when(bad, "bad").otherwise("good").alias("kind"), *[F.when(~bad, F.col(c)).alias(c) for c in ("txn_id", "card", "event")],
+                      F.col(rd.BAD).alias("line"), "pdate")
+
+
+@query(f"""
+SELECT strftime(ts, '%Y%m%d') AS pdate, count(*) FILTER (WHERE {PLANT} = 'good') AS good, count(*) FILTER (WHERE {PLANT} <> 'good') AS bad FROM txn GROUP BY 1
+""")
+def quarantine_counts(t):
+    """Good and bad lines of a fraud list per file, added up by the day in the file's path."""
+    path = t.scratch("planted-list")
+    fields = F.concat_ws("\t", "txn_id", "card", "place", F.date_format("ts", "yyyyMMdd"))
+    plant = F.expr(PLANT)
+    line = F.when(plant == "short", fields).otherwise(F.concat_ws("\t", fields, "event_type", F.when(plant == "long", F.lit("x"))))
+    t.txn.select(F.date_format("ts", "yyyyMMdd").alias("day"), line.alias("value")).write.partitionBy("day").text(path)
+    counts = rd.line_counts(rd.read_fraud_list(t.spark, f"{path}/*", checked=True))
+    return counts.groupBy(F.regexp_extract("file", r"day=(\d{8})", 1).alias("pdate")).agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+@query("SELECT txn_id, card, strftime(ts, '%Y%m%d') AS pdate FROM txn WHERE label = 1 AND CAST(ts AS DATE) IN (DATE '2024-01-09', DATE '2024-01-21')")
+def fraud_of_listed_days(t):
+    """Fraud rows of a log partitioned by day; only the days on the list are opened."""
+    path = t.scratch("partitioned-log")
+    wr.write_stage(t.txn.withColumn("pdate", F.date_format("ts", "yyyyMMdd")), path, ["pdate"])
+    listed = t.txn.withColumn("pdate", F.date_format("ts", "yyyyMMdd")).where("label = 1 AND pdate IN ('20240109', '20240121')")
+    return rd.scan_listed_days(t.spark, path, listed, ["txn_id", "card", "pdate"]).select("txn_id", "card", F.col("pdate").cast("string").alias("pdate"))
+
+
+@query("SELECT txn_id, CASE WHEN label = 1 THEN 1e0 ELSE 0e0 END AS is_fraud FROM txn")
+def labels_from_bucketed_tables(t):
+    """The label join on two tables bucketed by its keys: no exchange of either."""
+    from riskloom.operators import labels
+
+    names = [f"riskloom_{kind}_{uuid.uuid4().hex}" for kind in ("log", "list")]
+    wr.write_table(t.txn.select("txn_id", "card"), names[0], ["txn_id", "card"], 8)
+    wr.write_table(t.txn.where("label = 1").select("txn_id", "card"), names[1], ["txn_id", "card"], 8)
+    log, listed = (t.spark.table(n) for n in names)
+    return labels.label_transactions(log, listed, ["txn_id", "card"], "is_fraud").select("txn_id", "is_fraud")

@@ -19,28 +19,64 @@ def _days(start: str, end: str) -> list[str]:
     return [(first + timedelta(i)).strftime("%Y%m%d") for i in range((last - first).days + 1)]
 
 
+BAD = "bad_line"
+
+
+def read_checked(spark: SparkSession, path: str | list[str], schema: T.StructType, **options) -> DataFrame:
+    """Delimited text with two more columns: ``bad_line`` (the whole line if it has too few or too many fields or a value that is no number
+    where one is declared, else null) and ``file``. Nothing is dropped; ``good_rows``, ``bad_lines`` and ``line_counts`` split the result.
+    """
+    declared = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in [*schema.fields, T.StructField(BAD, T.StringType())])
+    # Lines are parsed as an expression: a line is bad or good whatever a query selects, also where it selects nothing but the bad lines.
+    parsed = F.from_csv("value", F.lit(declared), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD, "columnPruning": "false", **options})
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(parsed.alias("r"), F.col("_metadata.file_path").alias("file")).select("r.*", "file")
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    return checked.where(F.col(BAD).isNull()).drop(BAD, "file")
+
+
+def bad_lines(checked: DataFrame) -> DataFrame:
+    """(file, bad_line): the side output, to be written beside the good rows."""
+    return checked.where(F.col(BAD).isNotNull()).select("file", BAD)
+
+
+def line_counts(checked: DataFrame) -> DataFrame:
+    """(file, good, bad) for every file with a line."""
+    return checked.groupBy("file").agg(F.count_if(F.col(BAD).isNull()).alias("good"), F.count_if(F.col(BAD).isNotNull()).alias("bad"))
+
+
 def read_daily_log(spark: SparkSession, base: str, start: str, end: str, columns: Sequence[str],
-                   pattern: str = "{base}/{day}*", codes: Iterable[str] | None = None) -> DataFrame:
+                   pattern: str = "{base}/{day}*", codes: Iterable[str] | None = None, checked: bool = False) -> DataFrame:
     """Quoted comma logs, one file or folder per day, for ``start`` .. ``end`` (``yyyyMMdd``), in one scan.
 
     ``pdate`` comes from the file name. Institution codes present in ``columns`` are split. The days are one glob, so a day
-    without a file is no error.
+    without a file is no error. With ``checked`` the columns of ``read_checked`` are added; otherwise missing fields of a short line are null.
     """
     path = pattern.format(base=base, day="{" + ",".join(_days(start, end)) + "}")
-    raw = spark.read.csv(path, schema=text_schema(columns), sep=",", quote='"', escape='"')
-    name = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-    parent = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
+    form = {"sep": ",", "quote": '"', "escape": '"'}
+    raw = read_checked(spark, path, text_schema(columns), **form) if checked else spark.read.csv(path, schema=text_schema(columns), **form)
+    more = [BAD, "file"] if checked else []
+    source = F.split(F.col("file" if checked else "_metadata.file_path"), "/")
+    name, parent = F.element_at(source, -1), F.element_at(source, -2)
     # A day begins the name of a file or folder, or follows "="; other digits are part of some file's random name.
     in_name, in_parent = (F.regexp_extract(x, r"^(?:[^/=]*=)?(\d{8})", 1) for x in (name, parent))
     pdate = F.when(in_name != "", in_name).otherwise(in_parent)
-    df = raw.select(*columns, pdate.alias("pdate"))
+    df = raw.select(*columns, pdate.alias("pdate"), *more)
     wanted = codes if codes is not None else [c for c in INSTITUTION_CODES if c in columns]
     return split_code(df, wanted) if wanted else df
 
 
 def read_fraud_list(spark: SparkSession, path: str, start: str | None = None, end: str | None = None,
-                    sep: str = "\t", columns: Sequence[str] = tuple(FRAUD_LIST_COLUMNS), date_col: str = "pdate") -> DataFrame:
-    """Delimited fraud list, ``start <= date <= end``."""
+                    sep: str = "\t", columns: Sequence[str] = tuple(FRAUD_LIST_COLUMNS), date_col: str = "pdate",
+                    checked: bool = False) -> DataFrame:
+    """Delimited fraud list, ``start <= date <= end``. With ``checked`` the columns of ``read_checked`` are added and bad lines stay whatever
+    their date."""
+    if checked:
+        df = read_checked(spark, path, text_schema(columns), sep=sep)
+        inside = (F.lit(True) if start is None else F.col(date_col) >= start) & (F.lit(True) if end is None else F.col(date_col) <= end)
+        return df.where(F.col(BAD).isNotNull() | inside)
     df = spark.read.csv(path, schema=text_schema(columns), sep=sep)
     if start is not None:
         df = df.where(F.col(date_col) >= start)
@@ -64,8 +100,10 @@ def read_labeled(spark: SparkSession, path: str, names: Sequence[str] | None = N
     return read_stage(spark, path, names).select("*", day_of_week(ts).alias("day_week"), hour_of(ts).alias("hour"))
 
 
-def read_indexed(spark: SparkSession, path: str, key: str, names: Sequence[str]) -> DataFrame:
-    return spark.read.csv(path, schema=indexed_schema(key, names))
+def read_indexed(spark: SparkSession, path: str, key: str, names: Sequence[str], checked: bool = False) -> DataFrame:
+    """A key text and numbers. With ``checked``, lines that do not fit are told apart as ``read_checked`` does."""
+    schema = indexed_schema(key, names)
+    return read_checked(spark, path, schema) if checked else spark.read.csv(path, schema=schema)
 
 
 def read_csv_typed(spark: SparkSession, path: str | list[str], schema: str | T.StructType) -> DataFrame:
@@ -78,6 +116,16 @@ def scan_range(spark: SparkSession, table: str, start, end, cols: Iterable[str],
     return source.where((F.col(date_col) >= start) & (F.col(date_col) <= end)).select(*cols)
 
 
+def scan_listed_days(spark: SparkSession, table: str, listed: DataFrame, keys: Sequence[str], date_col: str = "pdate") -> DataFrame:
+    """Rows of a date-partitioned table that are on a list of ``keys``, ``date_col`` among them; partitions of other days are not opened.
+
+    The list is filtered and small against the log, so Spark runs it first and prunes the partitions at run time by its dates.
+    """
+    wanted = listed.where(F.col(date_col).isNotNull()).select(*keys).distinct()
+    source = spark.read.parquet(table) if "/" in table else spark.table(table)
+    return source.join(wanted, list(keys), "left_semi")
+
+
 def read_ragged(spark: SparkSession, path: str, names: Sequence[str], types: Sequence[str],
                 defaults: Sequence, sep: str = ",") -> DataFrame:
     """Comma text where a line with the wrong number of fields keeps its first and takes defaults."""

@@ -27,12 +27,17 @@ def write_stage(df: DataFrame, path: str, partition_by: Iterable[str] = (), sep:
         writer.csv(path, sep=sep)
 
 
-def write_table(df: DataFrame, name: str, bucket_by: str | None = None, buckets: int = 0) -> None:
-    """Managed table, optionally bucketed by the key that later joins and windows use."""
-    writer = df.write.mode("overwrite")
-    if bucket_by:
-        writer = writer.bucketBy(buckets, bucket_by).sortBy(bucket_by)
-    writer.saveAsTable(name)
+def write_table(df: DataFrame, name: str, bucket_by: str | Iterable[str] | None = None, buckets: int = 0) -> None:
+    """Managed table, optionally bucketed and sorted by the keys that later joins, groupings and windows use.
+
+    Two tables with the same keys and number of buckets join without an exchange; so do groupings and windows by those keys, or by those
+    and more. Rows go to their buckets in one shuffle, so each bucket is one file.
+    """
+    keys = [bucket_by] if isinstance(bucket_by, str) else list(bucket_by or ())
+    if not keys:
+        df.write.mode("overwrite").saveAsTable(name)
+        return
+    df.repartition(buckets, *keys).write.mode("overwrite").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(name)
 
 
 def save_model(model, path: str) -> None:

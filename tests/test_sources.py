@@ -90,3 +90,56 @@ def test_daily_log_with_a_missing_day(spark, tmp_path):
         spark.createDataFrame([(day, "x")], "a string, b string").write.csv(str(tmp_path / f"{day}.log"))
     rows = rd.read_daily_log(spark, str(tmp_path), "20240101", "20240104", ["a", "b"]).collect()
     assert sorted((r.a, r.pdate) for r in rows) == [("20240101", "20240101"), ("20240103", "20240103")]
+
+
+def test_lines_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k1,1.5,2\nk2,x,3\nk3,1\nk4,1,2,3\n\nk5,,7\n")
+    checked = rd.read_indexed(spark, str(tmp_path), "k", ["a", "b"], checked=True)
+    assert sorted(tuple(r) for r in rd.good_rows(checked).collect()) == [("k1", 1.5, 2.0), ("k5", None, 7.0)]
+    assert sorted(r.bad_line for r in rd.bad_lines(checked).collect()) == ["k2,x,3", "k3,1", "k4,1,2,3"]
+    assert [(r.good, r.bad) for r in rd.line_counts(checked).collect()] == [(2, 3)]
+    # what is selected does not decide what is bad
+    assert checked.where("bad_line IS NOT NULL").select("k").count() == 3
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_days_of_the_list_prune_the_log(spark, tmp_path):
+    log = spark.range(2000).selectExpr("id", "cast(id % 20 as string) AS pdate")
+    log.write.partitionBy("pdate").parquet(str(tmp_path / "log"))
+    listed = spark.range(2000).selectExpr("id", "cast(id % 20 as string) AS pdate").where("pdate IN ('3', '7') AND id < 500")
+    out = rd.scan_listed_days(spark, str(tmp_path / "log"), listed, ["id", "pdate"])
+    assert "dynamicpruningexpression" in plan_of(out)
+    assert out.count() == 50
+    # Files of other days are never opened: spoiled ones do no harm once the schema is known.
+    again = rd.scan_listed_days(spark, str(tmp_path / "log"), listed, ["id", "pdate"])
+    for file in (tmp_path / "log").glob("pdate=*/*.parquet"):
+        if file.parent.name not in ("pdate=3", "pdate=7"):
+            file.write_bytes(b"no parquet")
+            (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    assert again.count() == 50
+
+
+def test_bucketed_tables_join_without_an_exchange(spark):
+    from riskloom.operators import labels
+    from riskloom.operators import windows as w
+
+    log = spark.range(3000).selectExpr("id AS txn", "id % 70 AS card", "id AS cents", "timestamp_seconds(id * 5000) AS ts")
+    wr.write_table(log, "bucketed_log", ["txn", "card"], 4)
+    wr.write_table(log.where("txn % 9 = 0").select("txn", "card"), "bucketed_list", ["txn", "card"], 4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = labels.label_transactions(spark.table("bucketed_log"), spark.table("bucketed_list"), ["txn", "card"])
+        assert "Exchange" not in plan_of(out) and "SortMergeJoin" in plan_of(out)
+        assert out.where("label = 1").count() == 334
+        wr.write_table(log, "log_by_card", "card", 4)
+        days = w.day_frames(spark.table("log_by_card").withColumn("day", F.unix_date(F.to_date("ts"))), ["card"], "day",
+                            [w.Measure("n", "count", F.col("cents"))], [w.DAY3])
+        assert "Exchange" not in plan_of(days)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        for name in ("bucketed_log", "bucketed_list", "log_by_card"):
+            spark.sql(f"DROP TABLE {name}")
