@@ -23,13 +23,20 @@ def _ratio(part: Column, whole: Column) -> Column:
 # --- per-key profiles -------------------------------------------------------------------------
 
 def spend_profile(df: DataFrame, key: str, amount: str, ts: str, months: float) -> DataFrame:
-    """Spend per key: totals, spread, active days and months, and averages per month of the span."""
-    value, count = F.col(amount), F.count(amount)
-    return df.groupBy(key).agg(
-        F.sum(value).alias("amount_sum"), F.avg(value).alias("amount_avg"), F.stddev_samp(value).alias("amount_std"),
-        count.alias("txn_cnt"), F.count_distinct(F.to_date(ts)).alias("active_days"),
-        F.count_distinct(F.trunc(ts, "month")).alias("active_months"),
-        (F.sum(value) / months).alias("amount_per_month"), (count / F.lit(float(months))).alias("cnt_per_month"),
+    """Spend per key: totals, spread, active days and months, and averages per month of the span.
+
+    Rows are combined to (key, day) first, so distinct days are counted on days; the spread is put together from those of the days.
+    """
+    value = F.col(amount)
+    days = df.groupBy(key, F.to_date(ts).alias("_day")).agg(
+        F.sum(value).alias("_s"), F.count(value).alias("_n"), F.avg(value).alias("_m"), (F.var_pop(value) * F.count(value)).alias("_v"))
+    count, total = F.sum("_n"), F.sum("_s")
+    apart = F.sum(F.col("_n") * F.col("_m") * F.col("_m")) - F.pow(F.sum(F.col("_n") * F.col("_m")), 2) / count
+    spread = F.when(count > 1, F.sqrt(F.greatest(F.lit(0.0), F.sum("_v") + apart) / (count - 1)))
+    return days.groupBy(key).agg(
+        total.alias("amount_sum"), F.try_divide(total.cast("double"), count).alias("amount_avg"), spread.alias("amount_std"),
+        count.alias("txn_cnt"), F.count("_day").alias("active_days"), F.count_distinct(F.trunc("_day", "month")).alias("active_months"),
+        (total / months).alias("amount_per_month"), (count / F.lit(float(months))).alias("cnt_per_month"),
     )
 
 
@@ -38,13 +45,17 @@ def mean_by(df: DataFrame, key: str, amount: str) -> DataFrame:
 
 
 def qr_profile(df: DataFrame, key: str, flag: str, amount: str, day: str, mcc: str) -> DataFrame:
-    """QR use per key, for keys that use it at all."""
+    """QR use per key, for keys that use it at all. Rows are combined to (key, day, category) before anything distinct is counted."""
     on = F.col(flag) == 1.0
-    return df.groupBy(key).agg(
-        _count_true(on).alias("QR_cnt"), _ratio(_count_true(on), F.count(flag)).alias("QR_cnt_ratio"),
-        F.avg(F.when(on, F.col(amount))).alias("QR_avg_RMB"),
-        F.count_distinct(F.when(on, F.col(day))).alias("QR_date_cnt"),
-        F.count_distinct(F.when(on, F.col(mcc))).alias("QR_mcc_tps"),
+    use = df.groupBy(key, F.col(day).alias("_day"), F.col(mcc).alias("_mcc")).agg(
+        _count_true(on).alias("_on"), F.count(flag).alias("_all"), F.sum(F.when(on, F.col(amount))).alias("_s"),
+        F.count(F.when(on, F.col(amount))).alias("_n"))
+    used = F.col("_on") > 0
+    return use.groupBy(key).agg(
+        F.sum("_on").alias("QR_cnt"), _ratio(F.sum("_on"), F.sum("_all")).alias("QR_cnt_ratio"),
+        F.try_divide(F.sum("_s").cast("double"), F.sum("_n")).alias("QR_avg_RMB"),
+        F.count_distinct(F.when(used, F.col("_day"))).alias("QR_date_cnt"),
+        F.count_distinct(F.when(used, F.col("_mcc"))).alias("QR_mcc_tps"),
     ).where(F.col("QR_cnt") > 0)
 
 
@@ -87,13 +98,13 @@ def flag_ratios(df: DataFrame, key: str, flags: Iterable[str]) -> DataFrame:
 
 
 def card_kind_profile(df: DataFrame, key: str, card: str, is_deposit: Column) -> DataFrame:
-    """Deposit and credit cards and transactions per person, with the credit shares."""
+    """Deposit and credit cards and transactions per person, with the credit shares. Rows are combined to (person, card) first."""
     deposit = F.coalesce(is_deposit, F.lit(False))
-    cards = F.count_distinct(F.when(deposit, F.col(card))), F.count_distinct(F.when(~deposit, F.col(card)))
-    rows = _count_true(deposit), _count_true(~deposit)
-    return df.groupBy(key).agg(
-        cards[0].alias("deposit_cards_cnt"), cards[1].alias("credit_cards_cnt"),
-        rows[0].alias("deposit_trans_cnt"), rows[1].alias("credit_trans_cnt"),
+    cards = df.groupBy(key, F.col(card).alias("_card")).agg(_count_true(deposit).alias("_d"), _count_true(~deposit).alias("_c"))
+    named = F.col("_card").isNotNull()
+    return cards.groupBy(key).agg(
+        F.count_if(named & (F.col("_d") > 0)).alias("deposit_cards_cnt"), F.count_if(named & (F.col("_c") > 0)).alias("credit_cards_cnt"),
+        F.sum("_d").alias("deposit_trans_cnt"), F.sum("_c").alias("credit_trans_cnt"),
     ).withColumns({
         "credit_cards_ratio": _ratio(F.col("credit_cards_cnt"), F.col("credit_cards_cnt") + F.col("deposit_cards_cnt")),
         "credit_trans_ratio": _ratio(F.col("credit_trans_cnt"), F.col("credit_trans_cnt") + F.col("deposit_trans_cnt")),
