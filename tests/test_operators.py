@@ -31,6 +31,13 @@ def test_secondary_sort_golden(spark):
     assert got == [("z", 4, 0), ("z", 3, 7), ("z", 2, 8), ("z", 1, 4), ("y", 3, 1), ("y", 2, 5), ("y", 1, 7), ("x", 3, 6), ("x", 2, 9), ("x", 1, 3)]
 
 
+def test_pairs_of_tokens_are_made_by_compiled_code(spark):
+    """No lambda over the words of a text, and no sort of the pairs for their words' totals."""
+    plan = cooccurrence(spark.createDataFrame([("a b a",)], "text string"), "text", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "arrays_zip" in plan
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" in plan
+
+
 def test_cooccurrence_against_brute_force(spark):
     texts = ["a b a  c", "b b b", "", "one", "x\ty\nz ", None]
     counts = Counter()
