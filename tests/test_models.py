@@ -92,6 +92,18 @@ def test_scores_on_the_given_table(spark, name, floor):
     assert scored.where("score NOT BETWEEN 0 AND 1").count() == 0
 
 
+def test_forests_train_on_every_core(spark):
+    from riskloom.plans import model_queries as mq
+    from riskloom.plans.registry import Tables
+
+    tables = Tables(spark, FOLDER)
+    train, test = mq._held_out(tables, mq._telling(tables))
+    assert train.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism > tables.events.rdd.getNumPartitions()
+    cents = train.select(F.spark_partition_id().alias("part"), "cents").collect()
+    assert all(a.part != b.part or a.cents <= b.cents for a, b in zip(cents, cents[1:]))
+    assert train.join(test, "txn_id", "left_semi").count() == 0 and train.count() + test.count() == tables.txn.count()
+
+
 def test_importances_rank_the_planted_feature_first(spark):
     rows = result(spark, "random_forest_importances").collect()
     assert rows[0].feature == "cents" and {r.feature for r in rows} == {"cents", "hour", "place"}
