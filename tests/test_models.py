@@ -76,6 +76,33 @@ def test_scalers_buckets_and_selection(spark, points):
     assert hot.first().signal_vec.numNonzeros() == 1
 
 
+def test_training_parts_do_not_grow_with_the_files(spark):
+    """Every task sends the histograms of every node, so their number follows the cores; the numbers of a row are stored as one vector."""
+    from riskloom.plans.features import train_on_features
+
+    rows = spark.range(0, 6400, 1, 64).selectExpr("id", "int(id % 10 < 3) AS flag", "id % 10 AS a", "if(id % 7 = 0, null, 1 / (1 + id)) AS b", "id % 3 AS kind")
+    seen = {}
+
+    def fit(df):
+        seen["parts"], seen["rows"], seen["row"] = df.rdd.getNumPartitions(), df.count(), df.first()
+        seen["names"] = df.schema["features"].metadata["ml_attr"]["attrs"]
+        return models.train_rf(df, models.ForestConfig(5))
+
+    sizes = {"spark.sql.files.maxPartitionBytes": "1k", "spark.sql.files.openCostInBytes": "1"}
+    for name, value in sizes.items():
+        spark.conf.set(name, value)
+    try:
+        _, scored = train_on_features(rows, "id", "flag", ["a", "b"], ["kind"], fit=fit)
+        held = scored.select("label", "prediction").collect()
+    finally:
+        for name in sizes:
+            spark.conf.unset(name)
+    assert seen["parts"] <= 2 * spark.sparkContext.defaultParallelism
+    assert seen["rows"] + len(held) == 6400 and all(r.label == r.prediction for r in held)
+    assert [x["name"] for x in seen["names"]["numeric"]] == ["_numbers_a", "_numbers_b"] and seen["names"]["nominal"][0]["name"] == "kind_idx"
+    assert "_numbers" in seen["row"] and "a" not in seen["row"]
+
+
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
