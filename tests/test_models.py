@@ -142,6 +142,19 @@ def test_day_model_predicts_the_next_day(spark):
     assert c.tp + c.tn > 1.5 * (c.fp + c.fn)  # some thirty rows a day at the smallest scale
 
 
+def test_members_of_every_cluster_are_kept(spark, tmp_path, monkeypatch):
+    """Each cluster's members are taken, and each row is a member once, also where vec_id repeats or is missing."""
+    draw = random.Random(3)
+    rows = [(i % 50 if i % 7 else None, i % 3, [draw.gauss(20 * (i % 10), 1), draw.gauss(0, 1)]) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    taken, plain = [], models.cluster_members
+    monkeypatch.setattr(models, "cluster_members", lambda model, df, which: taken.append(which) or plain(model, df, which))
+    got = load_queries()[0]["k_means_members"](spark, str(tmp_path)).collect()
+    assert taken == list(range(10)) and "k_means_members" in load_queries()[1]
+    assert sorted((str(r.vec_id), r.clusters) for r in got) == sorted((str(v), 1) for v, _, _ in rows)
+    assert load_queries()[0]["k_means_clusters"](spark, str(tmp_path)).select("cluster").distinct().count() == 10
+
+
 def test_costs_fall_with_k_and_the_coreset_is_close(spark):
     full = {r.k: r.cost for r in result(spark, "k_means_cost_scan").collect()}
     assert list(full) == sorted(full) and full[30] < full[5]
